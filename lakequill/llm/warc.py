@@ -63,6 +63,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", uri: str = "ur
     own = pages.select(F.col(key).alias("k"), F.col(uri).cast("string").alias("u"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("p"))
     own = own.withColumn("d", F.sha2(F.col("p").cast("binary"), 256))
     firsts = own.where(F.octet_length("p") >= LEAST_REVISIT).groupBy("d").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "first")
+    firsts = settle(firsts, "warc-firsts")  # its real size decides whether payloads have to move
     linked = own.join(firsts, "d", "left").withColumn("r", F.when(~F.col("k").eqNullSafe(F.col("first")), F.col("first")))
     text = record_text(F.col("k"), F.col("u"), F.lit(date), F.col("p"), F.col("d"), F.col("r"))
     linked.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip" if gzip else "none").text(path)
@@ -158,34 +159,37 @@ def reachable(found: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: file, off, header, record_type, record_id, uri, refers_to, digest, block_length, payload (string).
+    """One row per record: file, header, record_type, record_id, uri, refers_to, digest, block_length, payload (string).
 
     The payload is the block, less the HTTP header where the record holds an HTTP message. Records that a separator
     look-alike cuts into several segments are put together again; all others never leave their task.
     """
     real = reachable(candidates(_segments(spark, path)))
-    # The record of a segment is the last reachable one at or before it: pieces of split records get its offset.
-    by_file = Window.partitionBy("file", "blk").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
+    # The record of a segment is the last reachable one at or before it that reaches beyond it.
+    own = F.when(F.col("real"), F.struct("off", "succ"))
+    inside = Window.partitionBy("file", "blk").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
     carried = Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = real.groupBy("file", "blk").agg(F.max(F.when(F.col("real"), F.col("off"))).alias("last")).select("file", "blk", F.max("last").over(carried).alias("before"))
-    owned = real.join(lasts, ["file", "blk"]).withColumn("rec", F.coalesce(F.max(F.when(F.col("real"), F.col("off"))).over(by_file), F.col("before")))
-    pieces = owned.groupBy("file", "rec").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    owned = settle(owned.join(pieces, ["file", "rec"], "left").select("file", "blk", "mid", "off", "rec", "real", F.coalesce("n", F.lit(1)).alias("n")).where("rec is not null"), "warc-owned")
-    segs = _segments(spark, path).drop("size")
-    whole = segs.join(owned, ["file", "blk", "mid"])
-    single = whole.where("n = 1").select("file", "off", "value")
-    parts = whole.where("n > 1").groupBy("file", "rec").agg(F.sort_array(F.collect_list(F.struct("off", "value"))).alias("parts"))
-    joined = parts.select("file", F.col("rec").alias("off"), F.expr("array_join(transform(parts, x -> x.value), sep)".replace("sep", "'" + SPLIT.replace("\r", "\\r").replace("\n", "\\n") + "'")).alias("value"))
+    lasts = real.groupBy("file", "blk").agg(F.max(own).alias("last")).select("file", "blk", F.max("last").over(carried).alias("before"))
+    owned = real.join(lasts, ["file", "blk"]).withColumn("r", F.coalesce(F.max(own).over(inside), F.col("before")))
+    owned = owned.withColumn("rec", F.when(F.col("r.succ") > F.col("off"), F.col("r.off")))
+    pieces = owned.groupBy("file", "rec").agg(F.count(F.lit(1)).alias("n")).where("rec is not null and n > 1")
+    # All segments but these are whole records, so payloads move only where a look-alike has cut one.
+    odd = owned.join(pieces, ["file", "rec"], "left").where("rec is null or n > 1").select("file", "blk", "mid", "off", "rec")
+    odd = settle(odd, "warc-odd")
+    segs = _segments(spark, path)
+    single = segs.join(odd, ["file", "blk", "mid"], "left_anti").select("file", "value")
+    cut = segs.join(odd.where("rec is not null"), ["file", "blk", "mid"]).groupBy("file", "rec").agg(F.sort_array(F.collect_list(F.struct("off", "value"))).alias("parts"))
+    joined = cut.select("file", F.expr("array_join(transform(parts, x -> x.value), sep)".replace("sep", "'" + SPLIT.replace("\r", "\\r").replace("\n", "\\n") + "'")).alias("value"))
     records = single.union(joined)
     header = _header(F.col("value"))
     length = _field(header, "Content-Length").cast("long")
     start = F.octet_length(header) + 5
     block = F.substring(F.col("value").cast("binary"), start, length.cast("int")).cast("string")
     is_http = F.coalesce(_field(header, "Content-Type"), F.lit("")).startswith("application/http")
-    out = records.select("file", "off", header.alias("header"), block.alias("block"), length.alias("block_length"), is_http.alias("http"))
+    out = records.select("file", header.alias("header"), block.alias("block"), length.alias("block_length"), is_http.alias("http"))
     body = F.when(F.col("http"), F.expr(f"substring(block, instr(block, '{END}') + 4)".replace(END, "\\r\\n\\r\\n"))).otherwise(F.col("block"))
     return out.select(
-        "file", "off", "header", _field(F.col("header"), "WARC-Type").alias("record_type"), _field(F.col("header"), "WARC-Record-ID").alias("record_id"),
+        "file", "header", _field(F.col("header"), "WARC-Type").alias("record_type"), _field(F.col("header"), "WARC-Record-ID").alias("record_id"),
         _field(F.col("header"), "WARC-Target-URI").alias("uri"), _field(F.col("header"), "WARC-Refers-To").alias("refers_to"),
         _field(F.col("header"), "WARC-Payload-Digest").alias("digest"), "block_length",
         F.when(F.col("http"), F.regexp_extract("block", r"(?i)^[^\r\n]*(?:\r\n[^\r\n]+)*?\r\nContent-Length:[ \t]*([0-9]+)", 1).try_cast("long")).alias("http_length"), body.alias("payload"),
