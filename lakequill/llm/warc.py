@@ -118,7 +118,7 @@ def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def candidates(segments: DataFrame) -> DataFrame:
-    """file, blk, mid, off, succ of each segment; off is where its version line begins, succ is -1 if unreadable.
+    """file, blk, mid (its rank in the split), off, succ of each segment; off is where its version line begins, succ is -1 if unreadable.
 
     The first segment of a file holds its own version line; the others begin after the separator.
     """
@@ -127,14 +127,14 @@ def candidates(segments: DataFrame) -> DataFrame:
     length = _field(header, "Content-Length").cast("string")
     slim = segments.select("file", "blk", "mid", "size", F.octet_length(header).cast("long").alias("head"), F.when(length.rlike("^[0-9]{1,18}$"), length).cast("long").alias("length"))
     slim = settle(slim, "warc-segments")
-    blocks = slim.groupBy("file", "blk").agg(F.sum(F.col("size") + sep).alias("total"))
-    starts = blocks.select("file", "blk", F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    blocks = slim.groupBy("file", "blk").agg(F.sum(F.col("size") + sep).alias("total"), F.min("mid").alias("lowest"))
+    starts = blocks.select("file", "blk", "lowest", F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = F.coalesce(F.sum(F.col("size") + sep).over(Window.partitionBy("file", "blk").orderBy("mid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = slim.withColumn("inside", inside).join(starts, ["file", "blk"]).withColumn("at", F.col("base") + F.col("inside"))
     # `at` is where the segment's text begins; its version line begins 7 bytes earlier, but for the file's first.
     off = F.when(F.col("at") == 0, F.lit(0)).otherwise(F.col("at") - 7).cast("long")
     succ = F.col("at") + F.col("head") + 4 + F.col("length") + 4
-    return placed.select("file", "blk", "mid", off.alias("off"), F.coalesce(succ, F.lit(-1)).cast("long").alias("succ"))
+    return placed.select("file", "blk", (F.col("mid") - F.col("lowest")).alias("mid"), off.alias("off"), F.coalesce(succ, F.lit(-1)).cast("long").alias("succ"))
 
 
 def reachable(found: DataFrame, rounds: int = 64) -> DataFrame:
@@ -177,6 +177,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     odd = owned.join(pieces, ["file", "rec"], "left").where("rec is null or n > 1").select("file", "blk", "mid", "off", "rec")
     odd = settle(odd, "warc-odd")
     segs = _segments(spark, path)
+    if not odd.isEmpty():
+        # Ids count through a task; a second scan may deal splits otherwise, so they are taken relative to their split.
+        lowest = settle(segs.groupBy("file", "blk").agg(F.min("mid").alias("lowest")), "warc-lowest")
+        segs = segs.join(lowest, ["file", "blk"]).withColumn("mid", F.col("mid") - F.col("lowest"))
     single = segs.join(odd, ["file", "blk", "mid"], "left_anti").select("file", "value")
     cut = segs.join(odd.where("rec is not null"), ["file", "blk", "mid"]).groupBy("file", "rec").agg(F.sort_array(F.collect_list(F.struct("off", "value"))).alias("parts"))
     joined = cut.select("file", F.expr("array_join(transform(parts, x -> x.value), sep)".replace("sep", "'" + SPLIT.replace("\r", "\\r").replace("\n", "\\n") + "'")).alias("value"))
