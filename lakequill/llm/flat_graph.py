@@ -32,6 +32,8 @@ from lakequill.llm.ngram_join import NO_ID, forest
 DEGREE, NEAR, RANDOM, ALPHA = 24, 32, 16, 1.2
 BEAM, MEDOIDS, SLACK = 12, 8, 0.05
 BLOCK, BATCH = 4096, 512
+#: Nodes expanded at a time; bounds the memory of the range expansion.
+FRONTIER = 20_000
 SAMPLE, PER_SHARD, MOST_SHARDS = 20_000, 1000, 1024
 AUDITED = 64
 
@@ -154,15 +156,20 @@ def range_search(x: np.ndarray, adj: np.ndarray, query: np.ndarray, starts: np.n
         # Range expansion: every node near the range is expanded until none is new.
         rr, cc = np.nonzero(sims >= least - SLACK)
         while len(rr):
-            near = adj[cc]
-            at, slot = np.nonzero((near >= 0) & ~seen[rr[:, None], near])
-            code = np.unique(rr[at] * n + near[at, slot])
-            r, c = code // n, code % n
-            seen[r, c] = True
-            s = np.einsum("nd,nd->n", v[r], x[c])
-            sims[r, c] = s
-            more = s >= least - SLACK
-            rr, cc = r[more], c[more]
+            grown = []
+            for k in range(0, len(rr), FRONTIER):
+                near = adj[cc[k : k + FRONTIER]]
+                mine = rr[k : k + FRONTIER]
+                at, slot = np.nonzero((near >= 0) & ~seen[mine[:, None], near])
+                code = np.unique(mine[at] * n + near[at, slot])
+                for m in range(0, len(code), 4 * FRONTIER):
+                    r, c = code[m : m + 4 * FRONTIER] // n, code[m : m + 4 * FRONTIER] % n
+                    seen[r, c] = True
+                    s = np.einsum("nd,nd->n", v[r], x[c])
+                    sims[r, c] = s
+                    more = s >= least - SLACK
+                    grown.append((r[more], c[more]))
+            rr, cc = (np.concatenate(z) for z in zip(*grown, strict=True)) if grown else (rr[:0], cc[:0])
         r, c = np.nonzero(sims >= least - 1e-5)
         other = q[r] != c
         yield q[r][other], c[other]
