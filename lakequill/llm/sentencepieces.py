@@ -16,7 +16,9 @@ has them, else the unknown piece; decoding inverts encoding but for unknown piec
 
 from __future__ import annotations
 
+import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -34,6 +36,9 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: Segments and pairs remembered per task; beyond, the older half goes.
 REMEMBERED = 250_000
+#: Above any piece id; as a state, what no merge crosses: the start or a character outside the vocabulary.
+LIMIT = 1 << 24
+FREE = LIMIT - 1
 
 
 class Recent(dict):
@@ -84,6 +89,11 @@ class Pieces:
         self.machine.make_automaton()
         self.follows = Recent(self._follows)
         self.known = Recent(self._segment_bytes)
+        self.words = Recent(lambda w: self._segment_bytes(BLANK + w))
+        self.chars = {n for n in self.ids if len(n) == 1}
+        # A line end that no piece holds parts segments, so that words at line ends are words like others.
+        self.lines = self.kind == BPE and 10 in self.bytes and not self.spaced and not any("\n" in n for n in self.ids)
+        self.line_end = array("i", [self.bytes[10]]).tobytes() if self.lines else b""
 
     def merged(self, text: str) -> list[str]:
         """text by merges: the pair of neighbours whose joint piece scores best is joined, the leftmost first."""
@@ -99,42 +109,31 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _follows(self, pair: tuple[str, str]) -> bool:
-        """May the second piece follow the first? With no first: do its own merges lead to the piece?"""
-        first, second = pair
+    def _follows(self, pair: int) -> bool:
+        """May the second piece follow the first? After the start or an unknown character: do its own merges lead to it?"""
+        first, second = divmod(pair, LIMIT)
+        first, second = "" if first == FREE else self.names[first], self.names[second]
         return self.merged(first + second) == ([first, second] if first else [second])
 
     def _bpe(self, text: str) -> list[str]:
-        n, names, follows = len(text), self.names, self.follows
-        last: list[str | None] = [None] * (n + 1)
-        last[0] = ""
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, hit in self.machine.iter(text):
-            ends[end].append(hit)
-        for i in range(n):
-            for piece, size in ends[i]:
-                before = last[i + 1 - size]
-                if before is None:
-                    continue
-                name = names[piece]
-                if (before == "" or before in self.ids) and not follows[before, name]:
-                    continue
-                if before != "" and before not in self.ids and not follows["", name]:
-                    continue
-                last[i + 1] = name
-                break
-            else:
-                if text[i] not in self.ids:
-                    last[i + 1] = text[i]
-        if last[n] is None:
-            return self.merged(text)
-        out, at = [], n
+        n, follows, none = len(text), self.follows, -1
+        last = [none] * (n + 1)
+        last[0] = FREE
+        odd = [] if self.chars.issuperset(text) else [i for i, c in enumerate(text) if c not in self.chars]
+        for i in odd:
+            last[i + 1] = FREE
+        for end, (piece, size) in self.machine.iter(text):
+            if last[end + 1] == none:
+                before = last[end + 1 - size]
+                if before != none and follows[before * LIMIT + piece]:
+                    last[end + 1] = piece
+        out, at, names = [], n, self.names
         while at:
-            name = last[at]
-            if name is None:
+            piece = last[at]
+            if piece == none:
                 return self.merged(text)
-            out.append(name)
-            at -= len(name)
+            out.append(text[at - 1] if piece == FREE else names[piece])
+            at -= len(out[-1])
         return out[::-1]
 
     def _unigram(self, text: str) -> list[str]:
@@ -176,14 +175,31 @@ class Pieces:
                 out += [self.bytes[b] for b in p.encode()]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return np.array(out, dtype=np.int32).tobytes()
+        return array("i", out).tobytes()
 
     def encode_bytes(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.lines or BLANK in text:
+            return self._whole((BLANK if self.prefix else "") + text.replace(" ", BLANK))
+        out, spaced, bare = [], self.words, self.known
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                out.append(self.line_end)
+            head = self.prefix and not k
+            if "  " in line or line[:1] == " " or line[-1:] == " ":
+                out.append(self._whole((BLANK if head else "") + line.replace(" ", BLANK)))
+            elif line:
+                first, *rest = line.split(" ")
+                out.append(spaced[first] if head else bare[first])
+                out += [spaced[w] for w in rest]
+            elif head:
+                out.append(bare[BLANK])
+        return b"".join(out)
+
+    def _whole(self, text: str) -> bytes:
         known = self.known
-        whole = (BLANK if self.prefix else "") + text.replace(" ", BLANK)
-        return b"".join([known[s] for s in self.segment.findall(whole)])
+        return b"".join([known[s] for s in self.segment.findall(text)])
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), dtype=np.int32).tolist()
@@ -196,6 +212,18 @@ class Pieces:
         return out.decode("utf-8", "replace")
 
 
+_held: dict[bytes, Pieces] = {}
+
+
+def held(model: bytes) -> Pieces:
+    """The model's pieces, kept by the process with what they remember: the tasks of a worker share them."""
+    key = hashlib.sha256(model).digest()
+    if key not in _held:
+        _held.clear()
+        _held[key] = Pieces(model)
+    return _held[key]
+
+
 def read_model(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -214,7 +242,7 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", ids: str
     box = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(box.value)
+        pieces = held(box.value)
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
@@ -237,7 +265,7 @@ def decode_documents(docs: DataFrame, model: bytes, ids: str = "piece_ids", out:
     at, box = own.index(ids), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(box.value)
+        pieces = held(box.value)
         for batch in batches:
             texts = [None if x is None else pieces.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*own, out])
