@@ -57,6 +57,24 @@ def wider(schema: StructType, *added: tuple[str, DataType]) -> StructType:
     return StructType([*schema.fields, *[StructField(n, t) for n, t in added]])
 
 
+#: Bits of the map below: fixed, so that what is broadcast never grows (at most BITS / 64 rows).
+BITS = 1 << 24
+
+
+def may_hold(ids: DataFrame, key: str) -> DataFrame:
+    """A map of fixed size (word, bits) that marks every id of ids, and others by chance, to be broadcast."""
+    spot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITS))
+    spots = ids.select(spot.alias("spot")).select(F.expr("cast(spot div 64 as int)").alias("_word"), F.expr("shiftleft(1L, cast(spot % 64 as int))").alias("bit"))
+    return spots.groupBy("_word").agg(F.bit_or("bit").alias("_bits"))
+
+
+def marked(rows: DataFrame, key: str, map_: DataFrame, held: bool = True) -> DataFrame:
+    """The rows whose key the map marks (or those that it does not). No row moves."""
+    spot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITS))
+    hit = (F.col("_word") == (spot / 64).cast("int")) & (F.getbit("_bits", (spot % 64).cast("int")) == 1)
+    return rows.join(F.broadcast(map_), hit, "left_semi" if held else "left_anti")
+
+
 def components(edges: DataFrame, what: str = "cc", rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b: long): one row (node, comp) per node, comp the smallest node reachable.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakequill.llm.bytesx import chunks, distinct, groups, mixed, powers, shingle_hashes, strings
-from lakequill.llm.common import components, settle, shuffle_width
+from lakequill.llm.common import components, marked, may_hold, settle, shuffle_width
 
 NO_ID = -(1 << 63)
 #: Texts in one verification block: at most so many rows or bytes.
@@ -204,7 +204,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5
     i, j = F.least("block", "other"), F.greatest("block", "other")
     tasks = sided.select(F.xxhash64("bucket", i, j).alias("task"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.when(F.col("block") == i, 0).otherwise(1).cast("int").alias("side"), "bucket", "rep", "d1", "d2", "copies", "kept")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), "text")
-    told = tasks.join(texts, "rep")
+    # Only texts of classes that met another one move, and some by chance.
+    told = tasks.join(marked(texts, "rep", settle(may_hold(placed, "rep"), "ngram-map")), "rep")
     width = shuffle_width(docs.sparkSession)
     dealt = told.repartition(max(width, 2), "task").sortWithinPartitions("task", "rep", "d1", "side")
     found = settle(dealt.mapInArrow(_verify(n, num, den), "rep long, d1 long, d2 long, links long, root long"), "ngram-links")
@@ -220,13 +221,18 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs of which each group of near-duplicates keeps one: its smallest id, the first where ids repeat."""
     found = settle(jaccard_join(docs.select("doc_id", "text"), **options), "ngram-kept")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
     names = docs.columns
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    repeats = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
+    gone = settle(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone_id")).distinct(), "ngram-gone")
+    # Rows that the map does not mark stay where they are; of the marked ones, the ids decide.
+    map_ = settle(may_hold(gone, "_gone_id"), "ngram-map")
+    maybe = marked(docs, "doc_id", map_).join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    repeats = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_many_id"))
+    repeats = settle(repeats, "ngram-repeats")
+    out = marked(docs, "doc_id", map_, held=False).select(*names).union(maybe.select(*names))
     if repeats.isEmpty():
-        return out.select(*names)
-    return out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"])).select(*names)
+        return out
+    many = out.join(repeats, F.col("doc_id") == F.col("_many_id"), "left_semi").dropDuplicates(["doc_id"])
+    return out.join(repeats, F.col("doc_id") == F.col("_many_id"), "left_anti").select(*names).union(many.select(*names))
 
 
 __all__ = ["bands_for", "jaccard_join", "one_of_each", "powers"]
