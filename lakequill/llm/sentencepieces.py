@@ -35,7 +35,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: Segments and pairs remembered per task; beyond, the older half goes.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Above any piece id; as a state, what no merge crosses: the start or a character outside the vocabulary.
 LIMIT = 1 << 24
 FREE = LIMIT - 1
@@ -88,7 +88,7 @@ class Pieces:
             self.machine.add_word(name, (i, len(name)))
         self.machine.make_automaton()
         self.follows = Recent(self._follows)
-        self.known = Recent(self._segment_bytes)
+        self.known = Recent(self._segment_bytes, REMEMBERED // 10)
         self.words = Recent(lambda w: self._segment_bytes(BLANK + w))
         self.chars = {n for n in self.ids if len(n) == 1}
         # A line end that no piece holds parts segments, so that words at line ends are words like others.
