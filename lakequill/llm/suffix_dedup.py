@@ -103,6 +103,11 @@ def repeated(data: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> np.ndarray
         span = np.arange(WINDOW)
         equal[k] = (data[p[k][:, None] + span] == data[q[k][:, None] + span]).all(axis=1)
     if not equal.all():
+        # What follows an unequal pair was judged by one byte only.
+        bad = np.cumsum(~equal)
+        begin = np.flatnonzero(~follows)
+        before = (bad - ~equal)[begin][np.cumsum(~follows) - 1]
+        equal &= bad == before
         # Hashes have collided: windows with such a hash are compared by their bytes alone.
         for value in np.unique(h[dup][~equal]):
             seen: set[bytes] = set()
