@@ -4,11 +4,12 @@ Vectors are dealt to overlapping cluster shards (each to its `overlap` nearest c
 near and random candidates, robustly pruned, with reverse edges. A vector's adjacency lists from all its shards are
 united. In its home shard each vector then searches the united graph greedily from the shard's medoids and from its own
 node, and expands over all nodes in range until no new one appears. What is found is verified in double precision. The
-recall against brute force over all vectors is audited for a bounded set of vectors; below the target, the overlap grows
-and the search runs again.
+recall against brute force over all vectors is audited for a bounded set of vectors; below the target, the search
+runs again, first with whole shards, then with more overlap.
 
 The centroids are fitted on at most `sample` vectors, those with the smallest hashes of their ids; all vectors are
-indexed. Shards above BLOCK vectors are searched in pairs of blocks. Links are counted in the task; of the links
+indexed. Shards above SPLIT vectors are dealt to finer shards, level by level, so shards keep their size as the table
+grows; those above BLOCK vectors are searched in pairs of blocks. Links are counted in the task; of the links
 themselves only a spanning forest leaves it. Equal vectors are one node with a multiplicity.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have another length than most
@@ -24,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from lakequill.llm.bytesx import groups
-from lakequill.llm.common import INTS, components, settle, shuffle_width, wider
+from lakequill.llm.bytesx import groups, mixed
+from lakequill.llm.common import LONG, components, settle, shuffle_width, wider
 from lakequill.llm.ngram_join import NO_ID, forest
 
 DEGREE, NEAR, RANDOM, ALPHA = 24, 32, 16, 1.2
@@ -35,6 +37,8 @@ BLOCK, BATCH = 4096, 512
 #: Nodes expanded at a time; bounds the memory of the range expansion.
 FRONTIER = 20_000
 SAMPLE, PER_SHARD, MOST_SHARDS = 20_000, 1000, 1024
+#: A shard of more vectors is dealt to finer ones, fitted on about so many of its vectors, at most so many times.
+SPLIT, SHARD_SAMPLE, LEVELS = 8 * BLOCK, 8000, 4
 AUDITED = 64
 
 
@@ -205,11 +209,68 @@ def _dealt(centres: np.ndarray, overlap: int) -> Callable[[Iterator[pa.RecordBat
                 continue
             sims = unit(_matrix(batch.column(batch.schema.get_field_index("vec")))) @ centres.T
             top = np.argsort(-sims, axis=1, kind="stable")[:, :overlap]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(top.astype(np.int32)), pa.list_(pa.int32()))], [*batch.schema.names, "shards"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(top.astype(np.int64)), pa.list_(pa.int64()))], [*batch.schema.names, "shards"])
 
     return run
 
 
+def _fine_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per large shard, the centroids of its sample (`fine` of them), as doubles' bytes."""
+    for table in groups(batches, "shard"):
+        c = fit_centroids(unit(_matrix(table["vec"])), table["fine"][0].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([table["shard"][0].as_py()], pa.int64()), pa.array([c.tobytes()], pa.binary())], ["shard", "centres"])
+
+
+def _dealt_finer(overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each part of a large shard, led by the row with its centroids: node, shard, and the finer shards of the node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "part"):
+            vec = table["vec"].combine_chunks()
+            dim = len(vec.drop_null()[0].as_py()) // 8 if vec.null_count < len(vec) else 0
+            if not dim:
+                continue
+            head = table["centres"].combine_chunks().drop_null()
+            if not len(head):
+                continue
+            centres = np.frombuffer(head[0].as_py(), dtype=np.float64).reshape(-1, dim)
+            mine = table.filter(pa.compute.is_valid(table["vec"]))
+            shard = mine["shard"][0].as_py()
+            ids = mixed(np.arange(1, len(centres) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(shard % (1 << 64))).view(np.int64)
+            top = np.argsort(-(unit(_matrix(mine["vec"])) @ centres.T), axis=1, kind="stable")[:, :overlap]
+            yield pa.RecordBatch.from_arrays([mine["node"].combine_chunks(), mine["shard"].combine_chunks(), pa.array(list(ids[top]), pa.list_(pa.int64()))], ["node", "shard", "finer"])
+
+    return run
+
+
+def finer(dealt: DataFrame, overlap: int, width: int, levels: int) -> DataFrame:
+    """dealt with every shard above SPLIT vectors replaced by finer ones, level by level.
+
+    A large shard is fitted on about SHARD_SAMPLE of its vectors, chosen by a hash, and dealt in parts that each carry the
+    centroids, so no task holds a large shard and nothing is broadcast. A node goes to the `overlap` nearest finer shards
+    of its home and to half as many of each other large shard that it was in; the nearest one in its home is its new home.
+    """
+    for level in range(levels):
+        members = dealt.select("node", "vec", F.explode("shards").alias("shard"))
+        large = settle(members.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT), "graph-large")
+        if large.isEmpty():
+            break
+        inside = members.join(large, "shard").withColumn("parts", F.ceil(F.col("n") / BLOCK))
+        chance = F.pmod(F.xxhash64("node", F.lit(level + 21)), F.lit(1 << 30)) / float(1 << 30)
+        fine = F.least(F.lit(MOST_SHARDS), F.greatest(F.lit(2), F.col("n") / PER_SHARD)).cast("int")
+        sample = inside.where(chance < SHARD_SAMPLE / F.col("n")).select("shard", fine.alias("fine"), "node", "vec")
+        centres = settle(sample.repartition(width, "shard").sortWithinPartitions("shard", "node").mapInArrow(_fine_centres, "shard long, centres binary"), "graph-centres")
+        slot = F.pmod(F.xxhash64("node", F.lit(level + 51)), F.col("parts"))
+        rows = inside.select(F.xxhash64("shard", slot).alias("part"), "shard", "node", "vec", F.lit(None).cast("binary").alias("centres"))
+        heads = centres.join(large, "shard").withColumn("slot", F.explode(F.expr(f"sequence(0L, ceil(n / {BLOCK}) - 1)"))).select(F.xxhash64("shard", "slot").alias("part"), "shard", F.lit(None).cast("long").alias("node"), F.lit(None).cast("binary").alias("vec"), "centres")
+        told = rows.union(heads).repartition(width, "part").sortWithinPartitions("part", "node").mapInArrow(_dealt_finer(overlap), "node long, shard long, finer array<long>")
+        told = settle(told, "graph-finer").groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("shard", "finer"))).alias("_finer"))
+        many = lambda place: F.when(place == 0, overlap).otherwise(max(2, overlap // 2))
+        wide = F.flatten(F.transform("shards", lambda s, place: F.coalesce(F.slice(F.try_element_at("_finer", s), F.lit(1), many(place)), F.array(s))))
+        dealt = settle(dealt.join(told, "node", "left").withColumn("shards", F.when(F.col("_finer").isNull(), F.col("shards")).otherwise(wide)).drop("_finer"), "graph-dealt")
+    return dealt
+
+
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task, the adjacency of its nodes as node keys."""
     for table in groups(batches, "task"):
@@ -317,26 +378,29 @@ def near_vectors(table: DataFrame, link: float = 0.95, key: str = "vec_id", vect
     fit_on = classes.orderBy(F.xxhash64("node"), "node").limit(sample).select("vec").toPandas()["vec"]
     centres = fit_centroids(unit(np.frombuffer(b"".join(fit_on), dtype=np.float64).reshape(len(fit_on), -1)), max(1, min(MOST_SHARDS, total // PER_SHARD)))
     width = max(2, shuffle_width(spark))
+    levels = LEVELS
     while True:
-        found = settle(_linked(classes, centres, min(overlap, len(centres)), link, width), "graph-links")
+        found = settle(_linked(classes, centres, min(overlap, len(centres)), link, width, levels), "graph-links")
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
         known = settle(classes.select("node", "rep", "vec", "copies").join(links, "node", "left").select("node", "rep", "vec", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "graph-known")
         told = audit(known, classes, link)
-        if told >= recall or overlap >= len(centres):
+        if told >= recall or (overlap >= len(centres) and not levels):
             break
-        overlap *= 2
+        # Dense groups lose links between finer shards: the next search keeps shards whole, later ones overlap more.
+        overlap, levels = overlap if levels else overlap * 2, 0
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "graph-components")
     known = known.join(parts, F.col("rep") == parts["node"], "left").select("vec", "rep", "links", F.coalesce("comp", "rep").alias("comp"))
     linked = parsed.join(known, "vec").select(F.col("id"), F.xxhash64("vec").alias("mark"), "links", "comp")
     bad = rows.join(parsed.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("comp"))
-    mixed = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(parsed.groupBy("id").agg(F.count(F.lit(1)).alias("m")), "id").where("n > m")
-    extra = mixed.select("id", F.explode(F.expr("sequence(1, n - m)")), ).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("comp"))
+    both = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(parsed.groupBy("id").agg(F.count(F.lit(1)).alias("m")), "id").where("n > m")
+    extra = both.select("id", F.explode(F.expr("sequence(1, n - m)"))).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("comp"))
     out = linked.select("id", "links", "comp").union(bad).union(extra)
     return out.select(real(F.col("id")).alias("vec_id"), F.col("links").cast("long").alias("n_links"), real(F.col("comp")).alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"), F.lit(told).alias("audited_recall"))
 
 
-def _linked(classes: DataFrame, centres: np.ndarray, overlap: int, link: float, width: int) -> DataFrame:
-    dealt = settle(classes.mapInArrow(_dealt(centres, overlap), wider(classes.schema, ("shards", INTS))), "graph-dealt")
+def _linked(classes: DataFrame, centres: np.ndarray, overlap: int, link: float, width: int, levels: int) -> DataFrame:
+    dealt = settle(classes.mapInArrow(_dealt(centres, overlap), wider(classes.schema, ("shards", ArrayType(LONG)))), "graph-dealt")
+    dealt = finer(dealt, overlap, width, levels)
     members = dealt.withColumn("home", F.element_at("shards", 1)).withColumn("shard", F.explode("shards"))
     tasks = _tasks(members, "shard")
     built = tasks.select("task", "node", "vec").repartition(width, "task").sortWithinPartitions("task", "node").mapInArrow(_build, "node long, near array<long>")

@@ -263,6 +263,30 @@ def test_embeddings(spark, monkeypatch):
     assert flat_graph.near_vectors(df.limit(0)).count() == 0 and flat_graph.near_vectors(df.where("vec_id >= 900")).count() == 6
 
 
+def test_embeddings_in_finer_shards(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    centres = rng.normal(size=(300, 16))
+    x = np.concatenate([c + rng.normal(size=(5, 16)) * 0.06 for c in centres]).astype(np.float32).astype(float)
+    size = np.linalg.norm(x, axis=1)
+    near = (x @ x.T) / (size[:, None] * size[None]) >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for name, value in {"PER_SHARD": 100, "MOST_SHARDS": 4, "SPLIT": 300, "SHARD_SAMPLE": 200, "BLOCK": 128}.items():
+        monkeypatch.setattr(flat_graph, name, value)
+    seen, real = [], flat_graph.finer
+    monkeypatch.setattr(flat_graph, "finer", lambda d, o, w, levels: seen.append((levels, real(d, o, w, levels))) or seen[-1][1])
+    got = {r.vec_id: r for r in flat_graph.near_vectors(df, overlap=3).collect()}
+    links = sum(r.n_links for r in got.values())
+    assert len(got) == len(x) and 0.9 * near.sum() <= links and all(got[i].n_links <= near[i].sum() for i in range(len(x)))
+    levels, dealt = seen[0]
+    members = dealt.selectExpr("node", "explode(shards) AS shard")
+    assert levels and len(seen) == 1 and members.groupBy("shard").count().count() > 4 and members.distinct().count() == members.count()
+    # A dense group: every vector links with every other one, and none of the links is lost.
+    dense = np.ones(16) + rng.normal(size=(900, 16)) * 0.02
+    got = flat_graph.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(dense)], "vec_id long, embedding array<double>")).collect()
+    assert {r.n_links for r in got} == {899} and {r.component_id for r in got} == {0} and seen[-1][0] == 0
+
+
 # Fingerprints
 def test_fingerprints(spark, odd):
     rows = [(i * 3, f"Text  number {i % 4} ÀÉ ﬁ", "s") for i in range(40)] + [(500, None, "s"), (501, "", "s"), (502, "STRASSE", "s"), (503, "straße ", "s")]
