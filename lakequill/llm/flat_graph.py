@@ -272,13 +272,14 @@ def finer(dealt: DataFrame, overlap: int, width: int, levels: int) -> DataFrame:
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task, the adjacency of its nodes as node keys."""
+    """Per task, the adjacency of its nodes: the low 32 bits of node keys. Where two keys share them an edge goes astray."""
     for table in groups(batches, "task"):
         node = table["node"].combine_chunks().to_numpy()
         x = unit(_matrix(table["vec"]))
         adj = build_graph(x)
-        lists = [node[a[a >= 0]] for a in adj]
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(lists, pa.list_(pa.int64()))], ["node", "near"])
+        short = node.astype(np.int32)
+        lists = [short[a[a >= 0]] for a in adj]
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(lists, pa.list_(pa.int32()))], ["node", "near"])
 
 
 def _search(link: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -296,9 +297,10 @@ def _search(link: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         lists = table["near"].combine_chunks()
         flat = lists.flatten().to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-        order = np.argsort(node, kind="stable")
-        at = np.minimum(np.searchsorted(node[order], flat), n - 1)
-        here = node[order][at] == flat
+        short = node.astype(np.int32)
+        order = np.argsort(short, kind="stable")
+        at = np.minimum(np.searchsorted(short[order], flat), n - 1)
+        here = short[order][at] == flat
         a, b = owner[here], order[at][here]
         adj = unite(n, np.concatenate([a, b]), np.concatenate([b, a]), x, 8 * DEGREE)
         shards = [set(s) for s in table["shards"].to_pylist()]
@@ -403,9 +405,9 @@ def _linked(classes: DataFrame, centres: np.ndarray, overlap: int, link: float,
     dealt = finer(dealt, overlap, width, levels)
     members = dealt.withColumn("home", F.element_at("shards", 1)).withColumn("shard", F.explode("shards"))
     tasks = _tasks(members, "shard")
-    built = tasks.select("task", "node", "vec").repartition(width, "task").sortWithinPartitions("task", "node").mapInArrow(_build, "node long, near array<long>")
-    lists = settle(built.select("node", F.explode("near").alias("to")).distinct().groupBy("node").agg(F.collect_list("to").alias("near")), "graph-adjacency")
-    whole = tasks.join(lists, "node", "left").select("task", "i", "j", F.col("side").cast("long").alias("side"), F.col("shard").cast("long").alias("shard"), F.col("home").cast("long").alias("home"), "shards", "node", "rep", "copies", "vec", F.coalesce("near", F.expr("cast(array() as array<bigint>)")).alias("near"))
+    built = tasks.select("task", "node", "vec").repartition(width, "task").sortWithinPartitions("task", "node").mapInArrow(_build, "node long, near array<int>")
+    lists = settle(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph-adjacency")
+    whole = tasks.join(lists, "node", "left").select("task", "i", "j", F.col("side").cast("long").alias("side"), F.col("shard").cast("long").alias("shard"), F.col("home").cast("long").alias("home"), "shards", "node", "rep", "copies", "vec", F.coalesce("near", F.expr("cast(array() as array<int>)")).alias("near"))
     return whole.repartition(width, "task").sortWithinPartitions("task", "node").mapInArrow(_search(link), "node long, rep long, links long, root long")
 
 
