@@ -48,7 +48,7 @@ META_SIZE = SOURCE_BUCKETS + LANG_BUCKETS + 3
 def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of TEXT_SIZE numbers for each text."""
     n, out = len(offsets) - 1, np.zeros((len(offsets) - 1, TEXT_SIZE))
-    for lo, hi in chunks(offsets, 1 << 20):
+    for lo, hi in chunks(offsets, 1 << 18):
         begin, end = offsets[lo], offsets[hi]
         part, at = data[begin:end], offsets[lo : hi + 1] - begin
         size = np.diff(at)
