@@ -3,7 +3,7 @@
 Only suffixes cut to WINDOW bytes matter, and of those only which are equal and which comes first. Suffixes are compared
 by prefix polynomial hashes and put in order by a stable mergesort on them, so that equal ones stand together with the
 earliest first; each is then verified byte by byte against the earliest. (The order among unequal suffixes is that of
-their hashes, not the alphabet's; README has the reasons and figures.)
+their hashes unless the alphabet's is asked for; README has the reasons and figures.)
 
 No table of all suffixes is made. Texts are packed; each window of a pack chooses the smallest hash among the GRAM-byte
 strings it holds as its anchor, so equal windows choose equal anchors. Anchors that occur once anywhere cannot belong
@@ -76,17 +76,50 @@ def anchors(prefix: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(begins), np.concatenate(counts), mixed(piece_hash(prefix, place, place + GRAM) + np.uint64(1))
 
 
-def repeated(data: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _after(data: np.ndarray, prefix: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Do the windows at p come after those at q? A binary search on hashes finds how far they agree."""
+    low, high = np.zeros(len(p), np.int64), np.full(len(p), WINDOW, np.int64)
+    while (low < high).any():
+        mid = (low + high + 1) // 2
+        same = piece_hash(prefix, p, p + mid) == piece_hash(prefix, q, q + mid)
+        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    at = np.minimum(low, WINDOW - 1)
+    return np.where(low == WINDOW, p > q, data[p + at] > data[q + at])
+
+
+def alphabetical(data: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The order of the windows at `at` (ascending) by their bytes, equal ones by place: a mergesort, all runs of a width at
+    once. Every window finds its rank in the run that its own is merged with by binary search."""
+    k, now, run = np.arange(len(at)), at.copy(), 1
+    while run < len(at):
+        base, left = k // (2 * run) * (2 * run), k % (2 * run) < run
+        begin = np.minimum(np.where(left, base + run, base), len(at))
+        end = np.minimum(np.where(left, base + 2 * run, base + run), len(at))
+        low = begin.copy()
+        while (low < end).any():
+            todo = np.flatnonzero(low < end)
+            mid = (low[todo] + end[todo]) // 2
+            late = _after(data, prefix, now[todo], now[mid])
+            low[todo[late]] = mid[late] + 1
+            end[todo[~late]] = mid[~late]
+        merged = np.empty_like(now)
+        merged[np.where(left, k, k - run) + low - begin] = now
+        now, run = merged, 2 * run
+    return np.searchsorted(at, now)
+
+
+def repeated(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, by_bytes: bool = False) -> np.ndarray:
     """Which of the windows at `at`, given in order of precedence and place, equal an earlier one.
 
-    A mergesort of the windows' hashes brings equal ones together. A window whose left neighbour repeats the left
-    neighbour of the same earlier window needs one byte compared, others all.
+    With by_bytes the order is the alphabet's, else that of the windows' hashes; either mergesort brings equal windows
+    together. A window whose left neighbour repeats the left neighbour of the same earlier window needs one byte
+    compared, others all.
     """
     n = len(at)
     if not n:
         return np.zeros(0, dtype=bool)
     h = piece_hash(prefix, at, at + WINDOW)
-    order = np.argsort(h, kind="stable")
+    order = alphabetical(data, prefix, at) if by_bytes else np.argsort(h, kind="stable")
     sorted_h = h[order]
     new = np.ones(n, dtype=bool)
     new[1:] = sorted_h[1:] != sorted_h[:-1]
@@ -203,7 +236,7 @@ def _meet_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _RUN = np.dtype([("id", "<i8"), ("pos", "<i8"), ("at", "<i4"), ("n", "<i4")])
 
 
-def _send_runs(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _send_runs(buckets: int, by_bytes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows per bucket: runs and their bytes. The row of bucket -1 holds the windows that repeat within the pack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +254,7 @@ def _send_runs(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             owner = np.repeat(runs, own.count[runs])
             order = np.argsort(window, kind="stable")
             window, owner = window[order], owner[order]
-            dup = repeated(own.data, own.prefix, window)
+            dup = repeated(own.data, own.prefix, window, by_bytes)
             gone = np.zeros(len(own.data), dtype=bool)
             gone[window[dup]] = True
             out = [(-1, b"", press.compress(np.packbits(gone).tobytes()))]
@@ -244,28 +277,32 @@ def _send_runs(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def _meet_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet_runs(by_bytes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For each pack and bucket, a bit per window that was sent: does another pack have it earlier?"""
-    opener = zstandard.ZstdDecompressor()
-    for table in groups(batches, "bucket"):
-        sent = [np.frombuffer(b, dtype=_RUN) for b in table["runs"].to_pylist()]
-        runs = np.concatenate(sent)
-        data = np.frombuffer(b"".join(opener.decompress(b) for b in table["blob"].to_pylist()), dtype=np.uint8)
-        pack = np.repeat(np.arange(len(sent)), [len(s) for s in sent])
-        key = table["pack"].combine_chunks().to_numpy(zero_copy_only=False)
-        size = runs["n"].astype(np.int64) + WINDOW - 1
-        start = np.cumsum(size) - size
-        order = np.lexsort((runs["pos"], key[pack], runs["id"]))
-        data = data[_spread(start[order], size[order])]
-        many = runs["n"].astype(np.int64)
-        begin = np.cumsum(size[order]) - size[order]
-        late = repeated(data, prefix_hash(data), _spread(begin, many[order]))
-        # Back to the order in which the windows were sent.
-        back = np.zeros(len(late), dtype=bool)
-        back[_spread((np.cumsum(many) - many)[order], many[order])] = late
-        ends = np.cumsum(np.bincount(pack, weights=many, minlength=len(sent)).astype(np.int64))
-        out = [(int(k), np.packbits(b).tobytes()) for k, b in zip(key, np.split(back, ends[:-1]), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([table["bucket"][0].as_py()] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], ["pack", "bucket", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener = zstandard.ZstdDecompressor()
+        for table in groups(batches, "bucket"):
+            sent = [np.frombuffer(b, dtype=_RUN) for b in table["runs"].to_pylist()]
+            runs = np.concatenate(sent)
+            data = np.frombuffer(b"".join(opener.decompress(b) for b in table["blob"].to_pylist()), dtype=np.uint8)
+            pack = np.repeat(np.arange(len(sent)), [len(s) for s in sent])
+            key = table["pack"].combine_chunks().to_numpy(zero_copy_only=False)
+            size = runs["n"].astype(np.int64) + WINDOW - 1
+            start = np.cumsum(size) - size
+            order = np.lexsort((runs["pos"], key[pack], runs["id"]))
+            data = data[_spread(start[order], size[order])]
+            many = runs["n"].astype(np.int64)
+            begin = np.cumsum(size[order]) - size[order]
+            late = repeated(data, prefix_hash(data), _spread(begin, many[order]), by_bytes)
+            # Back to the order in which the windows were sent.
+            back = np.zeros(len(late), dtype=bool)
+            back[_spread((np.cumsum(many) - many)[order], many[order])] = late
+            ends = np.cumsum(np.bincount(pack, weights=many, minlength=len(sent)).astype(np.int64))
+            out = [(int(k), np.packbits(b).tobytes()) for k, b in zip(key, np.split(back, ends[:-1]), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([table["bucket"][0].as_py()] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], ["pack", "bucket", "bits"])
+
+    return run
 
 
 def _cut(texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -301,8 +338,11 @@ def _cut(texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def dedup_substrings(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with texts the kept bytes."""
+def dedup_substrings(docs: DataFrame, texts: bool = False, by_bytes: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with texts the kept bytes.
+
+    by_bytes sorts suffixes alphabetically; the result is the same (README has what it costs).
+    """
     width = max(2, shuffle_width(docs.sparkSession))
     buckets = 4 * width
     packed = settle(packs(docs), "suffix-packs")
@@ -310,8 +350,8 @@ def dedup_substrings(docs: DataFrame, texts: bool = False) -> DataFrame:
     met = sent.repartition(width, "bucket").sortWithinPartitions("bucket", "pack").mapInArrow(_meet_anchors, "pack long, bucket long, bits binary")
     flags = met.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("flags"))
     flags = settle(flags, "suffix-flags")
-    runs = settle(packed.join(flags, "pack", "left").mapInArrow(_send_runs(buckets), "bucket long, pack long, runs binary, blob binary"), "suffix-runs")
-    told = runs.where("bucket >= 0").repartition(width, "bucket").sortWithinPartitions("bucket", "pack").mapInArrow(_meet_runs, "pack long, bucket long, bits binary")
+    runs = settle(packed.join(flags, "pack", "left").mapInArrow(_send_runs(buckets, by_bytes), "bucket long, pack long, runs binary, blob binary"), "suffix-runs")
+    told = runs.where("bucket >= 0").repartition(width, "bucket").sortWithinPartitions("bucket", "pack").mapInArrow(_meet_runs(by_bytes), "pack long, bucket long, bits binary")
     told = settle(told, "suffix-bits")
     parts = runs.select("pack", "bucket", "runs", F.when(F.col("bucket") < 0, F.col("blob")).alias("own")).join(told, ["pack", "bucket"], "left")
     parts = parts.groupBy("pack").agg(F.collect_list(F.struct("bucket", "runs", "own", "bits")).alias("parts"))

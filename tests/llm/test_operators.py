@@ -214,9 +214,19 @@ def test_suffix_dedup(spark, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "PACK", pack)
         got = suffix_dedup.dedup_substrings(docs).collect()
         assert {r.doc_id: tuple(r)[1:] for r in got} == brute_cut(rows)
+        sorted_by_bytes = suffix_dedup.dedup_substrings(docs, by_bytes=True).collect()
+        assert sorted(map(tuple, sorted_by_bytes)) == sorted(map(tuple, got))
     assert suffix_dedup.dedup_substrings(docs.limit(0)).count() == 0
 
 
+def test_suffixes_in_alphabetical_order():
+    data = np.frombuffer(b"".join(np.random.default_rng(5).choice([b"ab", b"ba", b"a" * 60], size=60)), np.uint8)
+    at = np.flatnonzero(np.arange(len(data) - suffix_dedup.WINDOW) % 3 > 0)
+    order = suffix_dedup.alphabetical(data, bytesx.prefix_hash(data), at)
+    text = data.tobytes()
+    assert at[order].tolist() == sorted(at.tolist(), key=lambda k: (text[k : k + suffix_dedup.WINDOW], k))
+
+
 def test_suffix_anchors_in_steps_and_collisions(monkeypatch):
     data = np.frombuffer(("abcdefgh" * 9 + "".join(chr(97 + i * i % 26) for i in range(3000))).encode(), np.uint8)
     valid = np.ones(len(data), bool)
