@@ -34,7 +34,7 @@ WINDOW, GRAM = 100, 32
 #: Bytes of text in a pack; a longer text is a pack of its own.
 PACK = 2 << 20
 #: Windows whose anchors are found at a time; their places fit in the low bits below.
-STEP, LOW = 1 << 20, np.uint64((1 << 21) - 1)
+STEP, LOW = 1 << 18, np.uint64((1 << 21) - 1)
 
 
 def _spread(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
