@@ -44,6 +44,21 @@ def path_of(df: DataFrame) -> str:
     return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""
 
 
+#: Bytes of an Arrow batch between the JVM and Python; a longer row is a batch of its own.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by bytes, not by rows alone; a bound that is set already stays.
+
+    Ten thousand texts in a batch, held by both sides and copied as buffers grow, else decide an executor's memory.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakequill.llm.bytesx import chunks, distinct, groups, mixed, powers, shingle_hashes, strings
-from lakequill.llm.common import components, marked, may_hold, settle, shuffle_width
+from lakequill.llm.common import components, marked, may_hold, settle, shuffle_width, small_batches
 
 NO_ID = -(1 << 63)
 #: Texts in one verification block: at most so many rows or bytes.
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(d1), pa.array(d2), pa.array(np.diff(s)), pa.array(np.diff(offsets[lo : hi + 1])), lists], ["id", "d1", "d2", "n_grams", "bytes", "bands"])
 
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    return ids.mapInArrow(run, "id long, d1 long, d2 long, n_grams long, bytes long, bands array<long>")
+    return small_batches(ids).mapInArrow(run, "id long, d1 long, d2 long, n_grams long, bytes long, bands array<long>")
 
 
 _PAIR_ROW = "task long, i int, j int, side int, bucket long, rep long, d1 long, d2 long, copies long, kept array<long>"
@@ -208,7 +208,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5
     told = tasks.join(marked(texts, "rep", settle(may_hold(placed, "rep"), "ngram-map")), "rep")
     width = shuffle_width(docs.sparkSession)
     dealt = told.repartition(max(width, 2), "task").sortWithinPartitions("task", "rep", "d1", "side")
-    found = settle(dealt.mapInArrow(_verify(n, num, den), "rep long, d1 long, d2 long, links long, root long"), "ngram-links")
+    found = settle(small_batches(dealt).mapInArrow(_verify(n, num, den), "rep long, d1 long, d2 long, links long, root long"), "ngram-links")
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "ngram-components")
     links = found.groupBy("rep", "d1", "d2").agg(F.sum("links").alias("links"))
     known = classes.select("rep", "d1", "d2", "copies").join(links, ["rep", "d1", "d2"], "left").join(parts, F.col("rep") == F.col("node"), "left").select("d1", "d2", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("comp", "rep").alias("comp"))

@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakequill.llm.common import small_batches
+
 ROUNDS = 10
 #: One value is remembered per task up to this many; then the memory starts anew.
 REMEMBERED = 100_000
@@ -215,7 +217,7 @@ def pseudonymise(docs: DataFrame, key: str = "lakequill", text: str = "text") ->
                 new = pa.array([names.text(t) for t in column.filter(some).to_pylist()], type=column.type)
                 yield part.set_column(at, batch.schema.field(at), pc.replace_with_mask(column, some, new))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def pseudonym_rows(docs: DataFrame, key: str = "lakequill") -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lakequill.llm.bytesx import IS_SPACE, chunks, strings, word_hashes
+from lakequill.llm.common import small_batches
 
 SAMPLE = 4000
 ROUNDS = 4
@@ -183,7 +184,7 @@ def _fit_rows(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> lis
     told = ids.join(marks, "doc_id").orderBy(order, "doc_id", "y").limit(sample)
     rest = ids.join(marks.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(sample).select("doc_id", F.lit(None).cast("double").alias("y"))
     picked = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(told.union(rest)), "doc_id")
-    rows = picked.mapInArrow(_features, "doc_id long, y double, text array<double>, meta array<double>").collect()
+    rows = small_batches(picked).mapInArrow(_features, "doc_id long, y double, text array<double>, meta array<double>").collect()
     return sorted(rows, key=lambda r: (r.doc_id, -1 if r.y is None else r.y, r.text))
 
 
@@ -219,7 +220,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             doc = batch.column(batch.schema.get_field_index("doc_id"))
             yield pa.RecordBatch.from_arrays([doc, *_scored(batch, model)], ["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+    return small_batches(docs.select("doc_id", "text", "lang", "source", "n_chars")).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
 
 
 def _scored(batch: pa.RecordBatch, model: Model | None) -> list[pa.Array]:
@@ -240,4 +241,4 @@ def kept_documents(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(_scored(batch, model)[3])
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

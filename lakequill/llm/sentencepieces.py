@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import FLAG, INTS, LONG, TEXT, wider
+from lakequill.llm.common import FLAG, INTS, LONG, TEXT, small_batches, wider
 
 BLANK = "▁"
 # Fixed values of the model format: kinds of pieces, kinds of models, the penalty below the least score.
@@ -255,7 +255,7 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", ids: str
                     arrays.append(pa.array([pieces.decode(flat[a:b].tolist()) == (t or "").replace(BLANK, " ") for a, b, t in zip(offsets[:-1], offsets[1:], texts, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*own, *[n for n, _ in added]])
 
-    return docs.mapInArrow(run, wider(docs.schema, *added))
+    return small_batches(docs).mapInArrow(run, wider(docs.schema, *added))
 
 
 def decode_documents(docs: DataFrame, model: bytes, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -270,4 +270,4 @@ def decode_documents(docs: DataFrame, model: bytes, ids: str = "piece_ids", out:
             texts = [None if x is None else pieces.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*own, out])
 
-    return docs.mapInArrow(run, wider(docs.schema, (out, TEXT)))
+    return small_batches(docs).mapInArrow(run, wider(docs.schema, (out, TEXT)))

@@ -333,3 +333,14 @@ def test_shingles():
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     h, s = bytesx.shingle_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets, 5)
     assert np.diff(s).tolist() == [2, 1, 0, 1, 3] and set(h[s[0] : s[1]]) < set(h[s[4] : s[5]])
+
+
+def test_small_batches_keeps_a_setting_and_changes_no_result(spark):
+    docs = spark.createDataFrame([(i, f"call +1 555 010 {i:04d} " * (i % 7)) for i in range(50)] + [(50, None)], "doc_id long, text string")
+    given = {}
+    for bound in (None, "1k"):
+        spark.conf.unset(common.BATCH_SETTING) if bound is None else spark.conf.set(common.BATCH_SETTING, bound)
+        given[bound] = sorted(map(tuple, ngram_join.jaccard_join(pii.pseudonymise(docs)).collect()))
+        assert spark.conf.get(common.BATCH_SETTING) == (bound or common.BATCH_BYTES)
+    spark.conf.unset(common.BATCH_SETTING)
+    assert given[None] == given["1k"]
