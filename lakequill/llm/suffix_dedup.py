@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakequill.llm.bytesx import chunks, groups, mixed, piece_hash, prefix_hash, strings
-from lakequill.llm.common import settle, shuffle_width
+from lakequill.llm.common import settle, shuffle_width, small_batches
 from lakequill.llm.ngram_join import NO_ID
 
 WINDOW, GRAM = 100, 32
@@ -169,7 +169,7 @@ def packs(docs: DataFrame, pack: int = PACK) -> DataFrame:
                 number += 1
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text"))
-    return rows.mapInArrow(run, "pack long, ids array<long>, sizes array<long>, blob binary")
+    return small_batches(rows).mapInArrow(run, "pack long, ids array<long>, sizes array<long>, blob binary")
 
 
 class _Pack:
