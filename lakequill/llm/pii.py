@@ -7,7 +7,11 @@ alone, so equal values get equal pseudonyms in every document and stay linked. L
 
 What is found: card numbers (13 to 19 digits, Luhn), IBANs (mod 97), phone numbers, IPv4 addresses, social security
 numbers, ISO and slashed dates, mail addresses (the local part), and secrets assigned in quotes (hex digits).
-What fails its validation is left as it is.
+What fails its validation is left as it is, and the search goes on inside it.
+
+A card number ends where its digits do or at a blank, as more numbers may follow: of those that begin at one place an
+ungrouped one or one in usual groups (fours, 4-6-5, 4-6-4) goes first. Groups of any other size count where they hold
+no such card and no other value: all that the pattern takes, or less where all but the last have four digits or more.
 
 Defined cases: a null text stays null; an empty text stays empty; values inside longer words or numbers are not values.
 """
@@ -30,7 +34,7 @@ ROUNDS = 10
 #: One value is remembered per task up to this many; then the memory starts anew.
 REMEMBERED = 100_000
 
-PATTERN = re.compile(
+OTHERS = (
     r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<mail>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|key)\s*[=:]\s*[\"'])(?P<hex>[0-9A-Fa-f]{16,})(?=[\"']))"
@@ -38,8 +42,10 @@ PATTERN = re.compile(
     r"|(?P<date>(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w/]|-\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w(])\(\d{3}\) \d{3}-\d{4}(?!\w))"
-    r"|(?P<card>(?<![\w-])(?:\d[ -]?){12,18}\d(?![\w]|-\d))"
 )
+NO_CARD = re.compile(OTHERS)
+PATTERN = re.compile(OTHERS + r"|(?P<card>(?<![\w-])(?:\d[ -]?){12,18}\d(?![\w]|-\d))")
+DIGITS, CARD_END = re.compile(r"\d+"), re.compile(r"(?![\w]|-\d)")
 
 #: Every value holds one of these, so texts without them need no search.
 SIGN = r"[0-9@]|(?i:token|secret|passw|key)"
@@ -57,6 +63,24 @@ def check_digit(body: str) -> str:
     return next(c for c in "0123456789" if luhn(body + c))
 
 
+def cards(text: str, at: int) -> list[tuple[int, list[int]]]:
+    """End and sizes of the groups of every valid card number that begins at a place, by length."""
+    out, sizes, digits = [], [], ""
+    while (group := DIGITS.match(text, at)) and len(digits) + len(group[0]) <= 19:
+        digits, at = digits + group[0], group.end()
+        sizes.append(len(group[0]))
+        if len(digits) >= 13 and CARD_END.match(text, at) and luhn(digits) and digits.strip("0"):
+            out.append((at, sizes[:]))
+        if text[at : at + 1] not in (" ", "-"):
+            break
+        at += 1
+    return out
+
+
+def usual(sizes: list[int]) -> bool:
+    return len(sizes) == 1 or sizes in ([4, 6, 5], [4, 6, 4]) or set(sizes[:-1]) == {4} and sizes[-1] <= 4
+
+
 class Feistel:
     """Keyed permutations of the numbers below any size, by a balanced Feistel network and cycle walking."""
 
@@ -103,11 +127,45 @@ class Pseudonyms:
         self.cipher, self.known = Feistel(key), {}
 
     def text(self, text: str) -> str:
-        return PATTERN.sub(self._replace, text)
+        out, done, at, tried = [], 0, 0, 0
+        while found := PATTERN.search(text, at):
+            begin, end = found.span()
+            if found.lastgroup == "card":
+                end = self._card_end(text, begin, end, begin >= tried)
+                tried = max(tried, found.end())
+                new = self._known("card", text[begin:end])
+            else:
+                new = self._replace(found)
+            if new == text[begin:end]:
+                # Not valid: what it holds is searched, from its second group or letter on.
+                at = DIGITS.match(text, begin).end() if found.lastgroup == "card" else begin + 1
+                continue
+            out += [text[done:begin], new]
+            done = at = end
+        return "".join([*out, text[done:]])
+
+    def _card_end(self, text: str, begin: int, end: int, first: bool) -> int:
+        """Where the card number that begins at a place ends; begin where none does. end is that of the longest match."""
+        found = cards(text, begin)
+        for stop, sizes in found:
+            if usual(sizes):
+                return stop
+        held = [m.start() for m in DIGITS.finditer(text, begin, end) if m.start() > begin and text[m.start() - 1] != "-" and self._begins(text, m.start())]
+        for stop, sizes in reversed(found):
+            if (stop == end and first or min(sizes[:-1]) >= 4) and not any(h < stop for h in held):
+                return stop
+        return begin
+
+    def _begins(self, text: str, at: int) -> bool:
+        """Whether a card number in usual groups or another value begins at a place."""
+        other = NO_CARD.match(text, at)
+        return any(usual(sizes) for _, sizes in cards(text, at)) or other is not None and self._replace(other) != other[0]
 
     def _replace(self, found: re.Match) -> str:
-        kind, value = found.lastgroup, found[0]
-        kind = "secret" if kind == "hex" else kind
+        kind = found.lastgroup
+        return self._known("secret" if kind == "hex" else kind, found[0])
+
+    def _known(self, kind: str, value: str) -> str:
         out = self.known.get((kind, value))
         if out is None:
             if len(self.known) >= REMEMBERED:
@@ -124,7 +182,7 @@ class Pseudonyms:
 
     def _card(self, value: str) -> str:
         digits = re.sub(r"\D", "", value)
-        if not luhn(digits) or not digits.strip("0"):
+        if not digits or not luhn(digits) or not digits.strip("0"):
             return value
         body = digits[0] + self._number(digits[1:-1], "card" + digits[0])
         return refill(value, body + check_digit(body))

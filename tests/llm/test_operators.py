@@ -184,6 +184,24 @@ def test_feistel_and_values():
     assert pii.luhn(re.search(r"card (\d+)", out)[1]) and pii.Pseudonyms(b"k").text(text) == out and pii.Pseudonyms(b"other").text(text) != out
 
 
+def test_cards_beside_other_numbers():
+    names, card = pii.Pseudonyms(b"k"), "4785380592391139"
+    new, grouped = names.text(card), "4785 3805 9239 1139"
+    ip, date = names.text("97.51.17.173"), names.text("12/25/2024")
+    assert new != card and ip != "97.51.17.173"
+    for text in ("{} 12 items", "{} 123", "{} 1", "12 {}", "7 {} 12", "{0} {0}", "1 2 3 {} 4 5 6", "{} 97", "1234 {} 1234"):
+        assert names.text(text.format(card)) == text.format(new)
+    assert names.text(f"pay {card} 97.51.17.173 now") == f"pay {new} {ip} now" and names.text(f"{card} 12/25/2024") == f"{new} {date}"
+    assert names.text(f"97.51.17.173 {card}") == f"{ip} {new}" and names.text("2123465659789240 97.51.17.173") == f"2123465659789240 {ip}"
+    assert names.text(f"AB12 {grouped}") == "AB12 " + names.text(grouped) and names.text(f"{grouped} 123") == names.text(grouped) + " 123"
+    # Numbers of which some other ending or beginning is valid by chance do not take a card or an address away.
+    for n in range(1000):
+        assert names.text(f"{card} {n}") == f"{new} {n}" and names.text(f"{n} {card}") == f"{n} {new}"
+        assert names.text(f"{card[:-1]}0 {n % 256}.51.17.173").startswith(f"{card[:-1]}0 ")
+    for text in (f"{card}-12", f"12-{card}", f"x{card}", f"{card}5", "0000000000000 12", "2123465659789240 12"):
+        assert names.text(text) == text
+
+
 def test_pii_rows(spark, odd):
     assert [r.text for r in pii.pseudonymise(odd).collect()] == [r.text for r in odd.collect()] and pii.pseudonymise(odd).schema == odd.schema
     got = pii.pseudonym_rows(docs_of(spark, [(1, "x 4785380592391139", "s"), (2, "4785380592391139 y", "s"), (3, None, "s")])).orderBy("doc_id").collect()
