@@ -4,8 +4,9 @@ Vectors are dealt to overlapping cluster shards (each to its `overlap` nearest c
 near and random candidates, robustly pruned, with reverse edges. A vector's adjacency lists from all its shards are
 united. In its home shard each vector then searches the united graph greedily from the shard's medoids and from its own
 node, and expands over all nodes in range until no new one appears. What is found is verified in double precision. The
-recall against brute force over all vectors is audited for a bounded set of vectors; below the target, the search
-runs again, first with whole shards, then with more overlap.
+recall against brute force over all vectors is audited for a bounded set of vectors, on links between different vectors,
+over all their links and as the mean of the vectors; below the target, the search runs again, first with whole shards,
+then with more overlap.
 
 The centroids are fitted on at most `sample` vectors, those with the smallest hashes of their ids; all vectors are
 indexed. Shards above SPLIT vectors are dealt to finer shards, level by level, so shards keep their size as the table
@@ -283,7 +284,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(link: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per task: links (numbers of linked vectors) and root of every node with links."""
+    """Per task: links (numbers of linked vectors), others (the same without their copies) and root of every node with links."""
 
     def one(table: pa.Table) -> pa.RecordBatch | None:
         take = lambda c: table[c].combine_chunks().to_numpy(zero_copy_only=False)
@@ -322,12 +323,13 @@ def _search(link: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         if not len(low):
             return None
         links = np.bincount(low, weights=copies[high], minlength=n) + np.bincount(high, weights=copies[low], minlength=n)
+        others = np.bincount(low, minlength=n) + np.bincount(high, minlength=n)
         order = np.lexsort((node, rep))
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
         root = rep[order][forest(n, rank[low], rank[high])][rank]
         has = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(v[has]) for v in (node, rep, links.astype(np.int64), root)], ["node", "rep", "links", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(v[has]) for v in (node, rep, links.astype(np.int64), others, root)], ["node", "rep", "links", "others", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "task"):
@@ -339,7 +341,7 @@ def _search(link: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def _counted(x: np.ndarray, link: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Brute force for the audit: per batch, how many vectors each audited one links with (itself and copies included)."""
+    """Brute force for the audit: per batch, how many different vectors each audited one links with (itself included)."""
     size = np.sqrt((x * x).sum(axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +350,7 @@ def _counted(x: np.ndarray, link: float) -> Callable[[Iterator[pa.RecordBatch]],
                 continue
             y = _matrix(batch.column(0))
             hit = (x @ y.T) / (size[:, None] * np.sqrt((y * y).sum(axis=1))[None, :]) >= link
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int64)), pa.array(hit @ batch.column(1).to_numpy())], ["k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int64)), pa.array(hit.sum(axis=1))], ["k", "n"])
 
     return run
 
@@ -383,8 +385,8 @@ def near_vectors(table: DataFrame, link: float = 0.95, key: str = "vec_id", vect
     levels = LEVELS
     while True:
         found = settle(_linked(classes, centres, min(overlap, len(centres)), link, width, levels), "graph-links")
-        links = found.groupBy("node").agg(F.sum("links").alias("links"))
-        known = settle(classes.select("node", "rep", "vec", "copies").join(links, "node", "left").select("node", "rep", "vec", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "graph-known")
+        links = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
+        known = settle(classes.select("node", "rep", "vec", "copies").join(links, "node", "left").select("node", "rep", "vec", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("others", F.lit(0)).alias("others")), "graph-known")
         told = audit(known, classes, link)
         if told >= recall or (overlap >= len(centres) and not levels):
             break
@@ -408,17 +410,28 @@ def _linked(classes: DataFrame, centres: np.ndarray, overlap: int, link: float,
     built = tasks.select("task", "node", "vec").repartition(width, "task").sortWithinPartitions("task", "node").mapInArrow(_build, "node long, near array<int>")
     lists = settle(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph-adjacency")
     whole = tasks.join(lists, "node", "left").select("task", "i", "j", F.col("side").cast("long").alias("side"), F.col("shard").cast("long").alias("shard"), F.col("home").cast("long").alias("home"), "shards", "node", "rep", "copies", "vec", F.coalesce("near", F.expr("cast(array() as array<int>)")).alias("near"))
-    return whole.repartition(width, "task").sortWithinPartitions("task", "node").mapInArrow(_search(link), "node long, rep long, links long, root long")
+    return whole.repartition(width, "task").sortWithinPartitions("task", "node").mapInArrow(_search(link), "node long, rep long, links long, others long, root long")
 
 
 def audit(known: DataFrame, classes: DataFrame, link: float) -> float:
-    """Links found over links that exist, for AUDITED vectors with links and AUDITED others; 1 where there are none."""
+    """Recall of the links between different vectors; 1 where there are none.
+
+    AUDITED vectors with such links found and AUDITED without are compared with brute force and stand for all of their
+    kind. The lower counts: links found over links that exist, or the mean of that over the vectors that have any.
+    """
+    kinds = {r.some: r.n for r in known.groupBy((F.col("others") > 0).alias("some")).agg(F.count(F.lit(1)).alias("n")).collect()}
     order = (F.xxhash64("node", F.lit(11)), "node")
-    rows = known.where("links > 0").orderBy(*order).limit(AUDITED).union(known.where("links = 0").orderBy(*order).limit(AUDITED)).select("vec", "links").collect()
+    rows = known.where("others > 0").orderBy(*order).limit(AUDITED).union(known.where("others = 0").orderBy(*order).limit(AUDITED)).select("vec", "others").collect()
     if not rows:
         return 1.0
     x = np.frombuffer(b"".join(bytes(r.vec) for r in rows), dtype=np.float64).reshape(len(rows), -1)
-    true = classes.select("vec", "copies").mapInArrow(_counted(x, link), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    exist = sum(r.n - 1 for r in true)
-    return min(1.0, sum(r.links for r in rows) / exist) if exist > 0 else 1.0
-
+    true = classes.select("vec").mapInArrow(_counted(x, link), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    exist = np.zeros(len(rows))
+    for r in true:
+        exist[r.k] = max(0, r.n - 1)
+    had = np.array([r.others for r in rows])
+    some, got = had > 0, np.minimum(had, exist)
+    weight = np.where(some, kinds.get(True, 0) / max(1, some.sum()), kinds.get(False, 0) / max(1, (~some).sum())) * (exist > 0)
+    if not weight.any():
+        return 1.0
+    return float(min((weight * got).sum() / (weight * exist).sum(), (weight * got / np.maximum(exist, 1)).sum() / weight.sum()))

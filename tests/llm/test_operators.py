@@ -315,6 +315,25 @@ def test_embeddings_in_finer_shards(spark, monkeypatch):
     assert {r.n_links for r in got} == {899} and {r.component_id for r in got} == {0} and seen[-1][0] == 0
 
 
+@pytest.mark.parametrize("copies", [True, False])
+def test_embeddings_audit_sees_lost_links_beside_large_groups(spark, monkeypatch, copies):
+    # Exact copies, or one large group, with all their links found do not make up for the lost links of small groups.
+    rng = np.random.default_rng(19)
+    base = rng.normal(size=(10, 16))
+    large = np.repeat(base, 300, axis=0) if copies else base[:1] + rng.normal(size=(60, 16)) * 0.02
+    pairs = [c + rng.normal(size=16) * 0.02 for c in rng.normal(size=(100, 16)) for _ in range(2)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*large, *pairs])], "vec_id long, embedding array<double>")
+    real, calls = flat_graph._linked, []
+
+    def loses_the_pairs(*args):
+        calls.append(args[-1])
+        return real(*args).where(F.col("rep") < len(large) if len(calls) == 1 else F.lit(True))
+
+    monkeypatch.setattr(flat_graph, "_linked", loses_the_pairs)
+    got = {r.vec_id: r for r in flat_graph.near_vectors(df).collect()}
+    assert len(calls) == 2 and all(got[i].n_links >= 1 for i in range(len(large), len(got))) and 0.9 <= got[0].audited_recall <= 1
+
+
 # Fingerprints
 def test_fingerprints(spark, odd):
     rows = [(i * 3, f"Text  number {i % 4} ÀÉ ﬁ", "s") for i in range(40)] + [(500, None, "s"), (501, "", "s"), (502, "STRASSE", "s"), (503, "straße ", "s")]
