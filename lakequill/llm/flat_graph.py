@@ -13,9 +13,14 @@ indexed. Shards above SPLIT vectors are dealt to finer shards, level by level, s
 grows; those above BLOCK vectors are searched in pairs of blocks. Links are counted in the task; of the links
 themselves only a spanning forest leaves it. Equal vectors are one node with a multiplicity.
 
-Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have another length than most
-have, link with nothing; rows that share an id share a component; a null id counts as one id before all others and its
-component is null; an empty table gives an empty result.
+A task holds at most 2 * BLOCK vectors; pairs are verified as each batch of queries finds them and kept as a bit in a square
+of its vectors, so a dense group costs time but no more memory than a sparse one. Where an expansion would look at more
+neighbours than the shard has vectors, the queries are measured against the whole shard instead.
+
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
+different lengths never link, those of each length are searched by themselves; rows that share an id share a component
+among vectors of one length; a null id counts as one id before all others and its component is null; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -29,14 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from lakequill.llm.bytesx import groups, mixed
-from lakequill.llm.common import LONG, components, settle, shuffle_width, wider
+from lakequill.llm.common import LONG, components, settle, shuffle_width, small_batches, wider
 from lakequill.llm.ngram_join import NO_ID, forest
 
 DEGREE, NEAR, RANDOM, ALPHA = 24, 32, 16, 1.2
 BEAM, MEDOIDS, SLACK = 12, 8, 0.05
 BLOCK, BATCH = 4096, 512
-#: Nodes expanded at a time; bounds the memory of the range expansion.
-FRONTIER = 20_000
+#: Nodes expanded at a time, and numbers gathered at a time; they bound the memory of building and searching.
+FRONTIER, CELLS = 20_000, 1 << 22
 SAMPLE, PER_SHARD, MOST_SHARDS = 20_000, 1000, 1024
 #: A shard of more vectors is dealt to finer ones, fitted on about so many of its vectors, at most so many times.
 SPLIT, SHARD_SAMPLE, LEVELS = 8 * BLOCK, 8000, 4
@@ -47,6 +52,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def pair_sims(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The products of x[a] and y[b], row by row, a bounded number of them at a time."""
+    out, step = np.empty(len(a)), max(1, CELLS // max(1, x.shape[1]))
+    for lo in range(0, len(a), step):
+        np.einsum("nd,nd->n", x[a[lo : lo + step]], y[b[lo : lo + step]], out=out[lo : lo + step])
+    return out
+
+
 def fit_centroids(x: np.ndarray, k: int, steps: int = 12, seed: int = 1) -> np.ndarray:
     """Spherical k-means on unit vectors."""
     rng = np.random.default_rng(seed)
@@ -87,9 +100,9 @@ def robust_prune(x: np.ndarray, node: np.ndarray, cand: np.ndarray, degree: int
 def build_graph(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Adjacency (n, 2 * DEGREE) of unit vectors, filled with -1: pruned candidates and reverse edges."""
     n, rng = len(x), np.random.default_rng(seed)
-    kept = []
-    for lo in range(0, n, BATCH):
-        node = np.arange(lo, min(n, lo + BATCH))
+    kept, step = [], max(16, min(BATCH, CELLS // ((NEAR + RANDOM) * x.shape[1])))
+    for lo in range(0, n, step):
+        node = np.arange(lo, min(n, lo + step))
         sims = x[node] @ x.T
         sims[np.arange(len(node)), node] = -2
         k = min(NEAR, n - 1)
@@ -107,7 +120,7 @@ def unite(n: int, a: np.ndarray, b: np.ndarray, x: np.ndarray | None, width: int
     code = np.unique(a * n + b)
     a, b = code // n, code % n
     if x is not None:
-        order = np.lexsort((-np.einsum("nd,nd->n", x[a], x[b]), a))
+        order = np.lexsort((-pair_sims(x, a, x, b), a))
         a, b = a[order], b[order]
     begin = np.searchsorted(a, np.arange(n))
     slot = np.arange(len(a)) - begin[a]
@@ -123,8 +136,8 @@ def medoids(x: np.ndarray, k: int = MEDOIDS) -> np.ndarray:
     return np.unique(np.argmax(fit_centroids(x[:: max(1, len(x) // 2000)], k, 4) @ x.T, axis=1))
 
 
-def range_search(x: np.ndarray, adj: np.ndarray, query: np.ndarray, starts: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (query node, found node) of similarity of about `least` or more, per batch of queries."""
+def range_search(x: np.ndarray, adj: np.ndarray, query: np.ndarray, starts: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (query node, found node) of similarity of about `least` or more, per batch of queries, and their similarities."""
     n = len(x)
     for lo in range(0, len(query), BATCH):
         q = query[lo : lo + BATCH]
@@ -133,7 +146,7 @@ def range_search(x: np.ndarray, adj: np.ndarray, query: np.ndarray, starts: np.n
         sims = np.full((len(q), n), -2.0, dtype=np.float32)
         beam = np.concatenate([np.tile(starts, (len(q), 1)), q[:, None]], axis=1)
         np.put_along_axis(seen, beam, True, 1)
-        score = np.einsum("qd,qcd->qc", v, x[beam])
+        score = pair_sims(v, np.repeat(rows, beam.shape[1]), x, beam.ravel()).reshape(beam.shape)
         np.put_along_axis(sims, beam, score.astype(np.float32), 1)
         fresh = np.ones_like(beam, dtype=bool)
         while True:
@@ -149,53 +162,56 @@ def range_search(x: np.ndarray, adj: np.ndarray, query: np.ndarray, starts: np.n
             rr, cc = np.nonzero(new)
             seen[r[rr], near[rr, cc]] = True
             got = np.full(near.shape, -3.0)
-            got[rr, cc] = np.einsum("nd,nd->n", v[r[rr]], x[near[rr, cc]])
+            got[rr, cc] = pair_sims(v, r[rr], x, near[rr, cc])
             sims[r[rr], near[rr, cc]] = got[rr, cc]
-            all_id, all_s, all_f = np.full((len(q), beam.shape[1] + near.shape[1]), 0), np.full((len(q), beam.shape[1] + near.shape[1]), -3.0), np.zeros((len(q), beam.shape[1] + near.shape[1]), bool)
-            w = beam.shape[1]
+            w, wide = beam.shape[1], beam.shape[1] + near.shape[1]
+            all_id, all_s, all_f = np.zeros((len(q), wide), np.int64), np.full((len(q), wide), -3.0), np.zeros((len(q), wide), bool)
             all_id[:, :w], all_s[:, :w], all_f[:, :w] = beam, score, fresh
             all_id[r, w:], all_s[r, w:], all_f[r, w:] = np.maximum(near, 0), got, new
-            top = np.argpartition(-all_s, BEAM - 1, axis=1)[:, :BEAM] if all_s.shape[1] > BEAM else np.tile(np.arange(all_s.shape[1]), (len(q), 1))
+            top = np.argpartition(-all_s, BEAM - 1, axis=1)[:, :BEAM] if wide > BEAM else np.tile(np.arange(wide), (len(q), 1))
             beam, score, fresh = np.take_along_axis(all_id, top, 1), np.take_along_axis(all_s, top, 1), np.take_along_axis(all_f, top, 1)
             fresh &= score > -3
         # Range expansion: every node near the range is expanded until none is new.
         rr, cc = np.nonzero(sims >= least - SLACK)
         while len(rr):
+            # Queries with more neighbours to look at than the shard has vectors are measured against all of it.
+            dense = np.flatnonzero(np.bincount(rr, minlength=len(q)) * adj.shape[1] > n)
+            if len(dense):
+                sims[dense], seen[dense] = v[dense] @ x.T, True
+                rest = ~np.isin(rr, dense)
+                rr, cc = rr[rest], cc[rest]
             grown = []
             for k in range(0, len(rr), FRONTIER):
                 near = adj[cc[k : k + FRONTIER]]
                 mine = rr[k : k + FRONTIER]
                 at, slot = np.nonzero((near >= 0) & ~seen[mine[:, None], near])
                 code = np.unique(mine[at] * n + near[at, slot])
-                for m in range(0, len(code), 4 * FRONTIER):
-                    r, c = code[m : m + 4 * FRONTIER] // n, code[m : m + 4 * FRONTIER] % n
-                    seen[r, c] = True
-                    s = np.einsum("nd,nd->n", v[r], x[c])
-                    sims[r, c] = s
-                    more = s >= least - SLACK
-                    grown.append((r[more], c[more]))
+                r, c = code // n, code % n
+                seen[r, c] = True
+                s = pair_sims(v, r, x, c)
+                sims[r, c] = s
+                more = s >= least - SLACK
+                grown.append((r[more], c[more]))
             rr, cc = (np.concatenate(z) for z in zip(*grown, strict=True)) if grown else (rr[:0], cc[:0])
         r, c = np.nonzero(sims >= least - 1e-5)
         other = q[r] != c
-        yield q[r][other], c[other]
-
-
-def _parsed(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """id, vec (the doubles' bytes) of every vector that can link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            ok = pa.compute.equal(pa.compute.list_value_length(column), dim).fill_null(False)
-            rows = batch.filter(ok)
-            x = rows.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
-            good = np.isfinite(x).all(axis=1)
+        yield q[r][other], c[other], sims[r, c][other]
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, dim, vec (the doubles' bytes; null for a vector that cannot link) of every row."""
+    for batch in batches:
+        column = batch.column(1)
+        size = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        blobs = np.full(len(batch), None, dtype=object)
+        for dim in np.unique(size[size > 0]):
+            at = np.flatnonzero(size == dim)
+            x = column.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
             with np.errstate(all="ignore"):
-                good &= (x * x).sum(axis=1) > 0
-                good &= np.isfinite((x * x).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(good)), pa.array([v.tobytes() for v in x[good]], pa.binary())], ["id", "vec"])
-
-    return run
+                whole = (x * x).sum(axis=1)
+            for k in np.flatnonzero(np.isfinite(x).all(axis=1) & np.isfinite(whole) & (whole > 0)):
+                blobs[at[k]] = x[k].tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.array(blobs, pa.binary())], ["id", "dim", "vec"])
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -304,31 +320,39 @@ def _search(link: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         here = short[order][at] == flat
         a, b = owner[here], order[at][here]
         adj = unite(n, np.concatenate([a, b]), np.concatenate([b, a]), x, 8 * DEGREE)
-        shards = [set(s) for s in table["shards"].to_pylist()]
-        found = [np.stack([q, c]) for q, c in range_search(x, adj, np.flatnonzero(home == shard), medoids(x), link)]
-        if not found:
-            return None
-        q, c = np.concatenate(found, axis=1)
-        low, high = np.minimum(q, c), np.maximum(q, c)
-        code = np.unique(low * n + high)
-        low, high = code // n, code % n
-        sure = np.einsum("nd,nd->n", raw[low], raw[high]) / (size[low] * size[high]) >= link
-        sure &= (side[low] != side[high]) if cross else True
-        # A pair with two homes is counted in the lower one, unless only the other holds both.
-        for k in np.flatnonzero(sure & (home[low] != home[high])):
-            u, v = low[k], high[k]
-            other = home[v] if home[u] == shard else home[u]
-            sure[k] = not (other < shard and other in shards[u] and other in shards[v])
-        low, high = low[sure], high[sure]
-        if not len(low):
-            return None
-        links = np.bincount(low, weights=copies[high], minlength=n) + np.bincount(high, weights=copies[low], minlength=n)
-        others = np.bincount(low, minlength=n) + np.bincount(high, minlength=n)
+        # Which of the vectors each other home's shard holds: a pair with two homes is counted in the lower one, unless
+        # only the other holds both.
+        homes, own_home = np.unique(home, return_inverse=True)
+        dealt = table["shards"].combine_chunks()
+        inside = np.zeros((len(homes), n), dtype=bool)
+        member = np.repeat(np.arange(n), np.diff(dealt.offsets.to_numpy()))
+        where = np.minimum(np.searchsorted(homes, dealt.flatten().to_numpy(zero_copy_only=False)), len(homes) - 1)
+        real = homes[where] == dealt.flatten().to_numpy(zero_copy_only=False)
+        inside[where[real], member[real]] = True
+        hit = np.zeros((n, n), dtype=bool)
+        for q, c, sims in range_search(x, adj, np.flatnonzero(home == shard), medoids(x), link):
+            other = own_home[c]
+            ok = ~((homes[other] < shard) & inside[other, q] & inside[other, c])
+            if cross:
+                ok &= side[q] != side[c]
+            unsure = np.flatnonzero(ok & (sims < link + 1e-5))
+            ok[unsure] = pair_sims(raw, q[unsure], raw, c[unsure]) / (size[q[unsure]] * size[c[unsure]]) >= link
+            hit[np.minimum(q, c)[ok], np.maximum(q, c)[ok]] = True
+        links, others, low = np.zeros(n), np.zeros(n, np.int64), np.arange(n)
         order = np.lexsort((node, rep))
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
-        root = rep[order][forest(n, rank[low], rank[high])][rank]
-        has = links > 0
+        for lo in range(0, n, BATCH):
+            a, b = np.nonzero(hit[lo : lo + BATCH])
+            a += lo
+            links += np.bincount(a, weights=copies[b], minlength=n) + np.bincount(b, weights=copies[a], minlength=n)
+            others += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+            code = np.unique(low[rank[a]] * n + low[rank[b]])
+            low = forest(n, code // n, code % n)[low]
+        has = others > 0
+        if not has.any():
+            return None
+        root = rep[order][low][rank]
         return pa.RecordBatch.from_arrays([pa.array(v[has]) for v in (node, rep, links.astype(np.int64), others, root)], ["node", "rep", "links", "others", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,23 +389,25 @@ def _tasks(dealt: DataFrame, shard: str) -> DataFrame:
 
 
 def near_vectors(table: DataFrame, link: float = 0.95, key: str = "vec_id", vector: str = "embedding", overlap: int = 4, recall: float = 0.9, sample: int = SAMPLE) -> DataFrame:
-    """vec_id, n_links, component_id, kept, audited_recall of every row."""
-    spark = table.sparkSession
+    """vec_id, n_links, component_id, kept, audited_recall of every row (the audit of the vectors of its length)."""
     rows = table.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(vector).alias("v"))
-    most = rows.where("size(v) > 0").groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    parsed = settle(small_batches(rows).mapInArrow(_parsed, "id long, dim long, vec binary"), "graph-parsed")
+    blank = F.lit(None).cast("double")
+    out = parsed.where("vec is null").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("comp"), blank.alias("told"))
+    for (dim,) in sorted(parsed.where("vec is not null").select("dim").distinct().collect()):
+        out = out.union(_of_length(parsed.where((F.col("dim") == dim) & F.col("vec").isNotNull()).select("id", "vec"), link, overlap, recall, sample))
     real = lambda c: F.when(c != NO_ID, c)
-    none = rows.select(real(F.col("id")).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), real(F.col("id")).alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("audited_recall"))
-    if most is None:
-        return none
-    parsed = settle(rows.mapInArrow(_parsed(most.d), "id long, vec binary"), "graph-parsed")
+    return out.select(real(F.col("id")).alias("vec_id"), F.col("links").cast("long").alias("n_links"), real(F.col("comp")).alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"), F.col("told").alias("audited_recall"))
+
+
+def _of_length(parsed: DataFrame, link: float, overlap: int, recall: float, sample: int) -> DataFrame:
+    """id, links, comp, told of vectors (id, vec) of one length."""
     classes = parsed.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.xxhash64("rep", "vec"))
     classes = settle(classes, "graph-classes")
     total = classes.count()
-    if not total:
-        return none
     fit_on = classes.orderBy(F.xxhash64("node"), "node").limit(sample).select("vec").toPandas()["vec"]
     centres = fit_centroids(unit(np.frombuffer(b"".join(fit_on), dtype=np.float64).reshape(len(fit_on), -1)), max(1, min(MOST_SHARDS, total // PER_SHARD)))
-    width = max(2, shuffle_width(spark))
+    width = max(2, shuffle_width(parsed.sparkSession))
     levels = LEVELS
     while True:
         found = settle(_linked(classes, centres, min(overlap, len(centres)), link, width, levels), "graph-links")
@@ -393,13 +419,8 @@ def near_vectors(table: DataFrame, link: float = 0.95, key: str = "vec_id", vect
         # Dense groups lose links between finer shards: the next search keeps shards whole, later ones overlap more.
         overlap, levels = overlap if levels else overlap * 2, 0
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "graph-components")
-    known = known.join(parts, F.col("rep") == parts["node"], "left").select("vec", "rep", "links", F.coalesce("comp", "rep").alias("comp"))
-    linked = parsed.join(known, "vec").select(F.col("id"), F.xxhash64("vec").alias("mark"), "links", "comp")
-    bad = rows.join(parsed.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("comp"))
-    both = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(parsed.groupBy("id").agg(F.count(F.lit(1)).alias("m")), "id").where("n > m")
-    extra = both.select("id", F.explode(F.expr("sequence(1, n - m)"))).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("comp"))
-    out = linked.select("id", "links", "comp").union(bad).union(extra)
-    return out.select(real(F.col("id")).alias("vec_id"), F.col("links").cast("long").alias("n_links"), real(F.col("comp")).alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"), F.lit(told).alias("audited_recall"))
+    known = known.join(parts, F.col("rep") == parts["node"], "left").select("vec", "links", F.coalesce("comp", "rep").alias("comp"))
+    return parsed.join(known, "vec").select("id", "links", "comp", F.lit(told).alias("told"))
 
 
 def _linked(classes: DataFrame, centres: np.ndarray, overlap: int, link: float, width: int, levels: int) -> DataFrame:
