@@ -1,16 +1,18 @@
 """Quality classifier by co-training.
 
-Two views see a document: its text (byte classes, their bigrams, word repetition) and its page metadata (language,
-source, length). Each view is a logistic regression. Over rounds, each view labels the unlabelled documents that it is
+Two views see a document: its text (hashed words, word pairs and byte trigrams, byte classes and their bigrams, word
+repetition) and its page metadata (language, source, length). Each view is a logistic regression. Over rounds, each view labels the unlabelled documents that it is
 most sure of and hands them to the other view. Then both are calibrated on a held-out fold (Platt) and combined; every
 document is scored in one pass without moving rows.
 
 Fitting uses at most `sample` labelled and `sample` unlabelled documents, those with the smallest hashes of their ids;
-the bound is a parameter and the same at every size. Scoring covers all documents and whole texts.
+the bound is a parameter and the same at every size, and one row stands for an id, however often it repeats. Scoring
+covers all documents and whole texts.
 
 Defined cases: a null or empty text is not kept (score 0); null metadata is a value of its own; labels other than 0 and
-1 are ignored, and a document with several labels counts with each; without labels of both kinds every document with a
-word is kept and its score is null; extra columns pass through untouched.
+1 are ignored, as are those of a document whose labels disagree; of rows that share an id the smallest is fitted on;
+rows without an id are scored but not fitted on; without labels of both kinds every document with a word is kept and its
+score is null; extra columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.bytesx import IS_SPACE, chunks, strings, word_hashes
+from lakequill.llm.bytesx import BASE, IS_SPACE, chunks, strings, word_hashes
 from lakequill.llm.common import small_batches
 
 SAMPLE = 4000
@@ -42,10 +44,25 @@ _CLASS[[ord(c) for c in ".,;:'\"-()?"]] = 6
 _CLASS[ord("!")] = 7
 _CLASS[128:] = 8
 
-TEXT_SIZE = CLASSES + CLASSES * CLASSES + 6
+#: Buckets for words, for pairs of words and for byte trigrams, and the place of the number of words among the rest.
+GRAM_BUCKETS, REST = 96, CLASSES + CLASSES * CLASSES
+TEXT_SIZE = REST + 6 + 3 * GRAM_BUCKETS
 META_SIZE = SOURCE_BUCKETS + LANG_BUCKETS + 3
 
 
+def _trigrams(data: np.ndarray) -> np.ndarray:
+    """A hash of every three neighbouring bytes."""
+    wide = data.astype(np.uint64)
+    return wide[2:] | wide[1:-1] << np.uint64(8) | wide[:-2] << np.uint64(16)
+
+
+def _shares(row: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows, the root of the share of its keys that falls into each bucket."""
+    bucket = ((keys * np.uint64(BASE)) >> np.uint64(40)).astype(np.int64) % GRAM_BUCKETS
+    many = np.bincount(row * GRAM_BUCKETS + bucket, minlength=n * GRAM_BUCKETS).reshape(n, GRAM_BUCKETS)
+    return np.sqrt(many / np.maximum(many.sum(axis=1), 1)[:, None])
+
+
 def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of TEXT_SIZE numbers for each text."""
     n, out = len(offsets) - 1, np.zeros((len(offsets) - 1, TEXT_SIZE))
@@ -68,7 +85,10 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         third = np.bincount(wrow[2:][(words[2:] == words[:-2]) & (wrow[2:] == wrow[:-2])], minlength=hi - lo)
         per_byte, per_word = np.maximum(size, 1)[:, None], np.maximum(count, 1)
         rest = np.stack([again / per_word, third / per_word, kinds / per_word, np.log1p(count) / 10, np.minimum(size / per_word, 40) / 10, np.log1p(kinds) / 10], axis=1)
-        out[lo:hi] = np.concatenate([single / per_byte, pair / per_byte * 2, rest], axis=1)
+        grams = [_shares(row[2:][same[1:] & same[:-1]], _trigrams(part)[same[1:] & same[:-1]], hi - lo)]
+        near = wrow[1:] == wrow[:-1]
+        grams += [_shares(wrow, words, hi - lo), _shares(wrow[1:][near], (words[1:] + words[:-1] * np.uint64(BASE))[near], hi - lo)]
+        out[lo:hi] = np.concatenate([single / per_byte, pair / per_byte * 2, rest, *grams], axis=1)
     return out if n else np.zeros((0, TEXT_SIZE))
 
 
@@ -176,16 +196,21 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, more_text: np.nd
     return Model(*fitted, *platt, fit_logistic(logits, y[hold], ridge=1e-4), 0.5)
 
 
-def _fit_rows(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> list[Row]:
-    """At most `sample` labelled and `sample` unlabelled documents, with their features."""
+def _fit_rows(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and metadata features and labels (NaN where there is none) of at most `sample` labelled and `sample` unlabelled
+    documents, by id."""
     order = F.xxhash64("doc_id", F.lit(seed))
-    marks = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("y"))
-    ids = docs.select("doc_id").where("doc_id is not null")
-    told = ids.join(marks, "doc_id").orderBy(order, "doc_id", "y").limit(sample)
+    marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"), F.max("quality").alias("most"))
+    ids = docs.select("doc_id").where("doc_id is not null").distinct()
+    told = ids.join(marks.where("y = most").select("doc_id", "y"), "doc_id").orderBy(order, "doc_id").limit(sample)
     rest = ids.join(marks.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(sample).select("doc_id", F.lit(None).cast("double").alias("y"))
     picked = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(told.union(rest)), "doc_id")
-    rows = small_batches(picked).mapInArrow(_features, "doc_id long, y double, text array<double>, meta array<double>").collect()
-    return sorted(rows, key=lambda r: (r.doc_id, -1 if r.y is None else r.y, r.text))
+    # Rows that share an id become one before they move: a minimum is taken where they lie.
+    single = picked.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "y", "row.*")
+    found = small_batches(single).mapInArrow(_features, "doc_id long, y double, text binary, meta binary").toArrow().sort_by("doc_id")
+    assert len(found) <= 2 * sample
+    matrix = lambda name, k: np.frombuffer(b"".join(found[name].to_pylist()), dtype=np.float64).reshape(-1, k)
+    return matrix("text", TEXT_SIZE), matrix("meta", META_SIZE), found["y"].to_numpy().astype(float)
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -198,18 +223,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text, meta = _views(batch)
         take = lambda n, b=batch: b.column(b.schema.get_field_index(n))
-        yield pa.RecordBatch.from_arrays([take("doc_id"), take("y"), pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64()))], ["doc_id", "y", "text", "meta"])
+        yield pa.RecordBatch.from_arrays([take("doc_id").cast(pa.int64()), take("y"), pa.array([r.tobytes() for r in text], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], ["doc_id", "y", "text", "meta"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, seed: int = 7) -> Model | None:
     """A model, or None where the labels do not hold both classes."""
-    rows = _fit_rows(docs, labels, sample, seed)
-    told, rest = [r for r in rows if r.y is not None], [r for r in rows if r.y is None]
-    y = np.array([r.y for r in told])
-    if len(set(y)) < 2:
+    text, meta, y = _fit_rows(docs, labels, sample, seed)
+    told = ~np.isnan(y)
+    if len(set(y[told])) < 2:
         return None
-    table = lambda rs, n, k: np.array([getattr(r, n) for r in rs]).reshape(-1, k)
-    return co_train(table(told, "text", TEXT_SIZE), table(told, "meta", META_SIZE), y, table(rest, "text", TEXT_SIZE), table(rest, "meta", META_SIZE), rounds)
+    return co_train(text[told], meta[told], y[told], text[~told], meta[~told], rounds)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -225,7 +248,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def _scored(batch: pa.RecordBatch, model: Model | None) -> list[pa.Array]:
     text, meta = _views(batch)
-    worded = text[:, CLASSES + CLASSES * CLASSES + 3] > 0
+    worded = text[:, REST + 3] > 0
     if model is None:
         blank = pa.nulls(len(batch), pa.float64())
         return [blank, blank, blank, pa.array(worded)]
