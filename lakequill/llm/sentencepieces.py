@@ -17,6 +17,7 @@ has them, else the unknown piece; decoding inverts encoding but for unknown piec
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -34,15 +35,16 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-#: Segments and pairs remembered per task; beyond, the older half goes.
-REMEMBERED = 200_000
+#: Segments and pairs remembered per task (beyond, the older half goes), and the longest segment that is.
+REMEMBERED, LONGEST = 200_000, 200
 #: Above any piece id; as a state, what no merge crosses: the start or a character outside the vocabulary.
 LIMIT = 1 << 24
 FREE = LIMIT - 1
 
 
 class Recent(dict):
-    """A memory of at most about 2 * size entries: a full one becomes the older one, whose entries return when used."""
+    """A memory of at most about 2 * size entries: a full one becomes the older one, whose entries return when used. Texts
+    of more than LONGEST characters are not remembered, so its bytes are bounded too."""
 
     def __init__(self, make, size: int = REMEMBERED):
         super().__init__()
@@ -52,6 +54,8 @@ class Recent(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+            if isinstance(key, str) and len(key) > LONGEST:
+                return value
         if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
@@ -90,24 +94,57 @@ class Pieces:
         self.follows = Recent(self._follows)
         self.known = Recent(self._segment_bytes, REMEMBERED // 10)
         self.words = Recent(lambda w: self._segment_bytes(BLANK + w))
+        runs = [n for n in self.ids if n == BLANK * len(n)]
+        longest = max(runs, key=len, default="")
+        tied = len({self.scores[self.ids[n]] for n in runs if len(n) > 1}) == 1
+        self.period = len(longest) if tied and self.merged(longest * 4)[0] == longest else 0
         self.chars = {n for n in self.ids if len(n) == 1}
         # A line end that no piece holds parts segments, so that words at line ends are words like others.
         self.lines = self.kind == BPE and 10 in self.bytes and not self.spaced and not any("\n" in n for n in self.ids)
         self.line_end = array("i", [self.bytes[10]]).tobytes() if self.lines else b""
 
     def merged(self, text: str) -> list[str]:
-        """text by merges: the pair of neighbours whose joint piece scores best is joined, the leftmost first."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, at = self.scores[i], k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """text by merges: the pair of neighbours whose joint piece scores best is joined, the leftmost first.
+
+        A heap holds the pairs that can be joined; one whose parts have changed since is passed over.
+        """
+        parts, ids, scores = list(text), self.ids, self.scores
+        n = len(parts)
+        after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+        for k in range(n - 1):
+            i = ids.get(parts[k] + parts[k + 1])
+            if i is not None:
+                heap.append((-scores[i], k, len(parts[k]) + len(parts[k + 1])))
+        heapq.heapify(heap)
+        while heap:
+            _, k, size = heapq.heappop(heap)
+            j = after[k]
+            if not parts[k] or j >= n or len(parts[k]) + len(parts[j]) != size:
+                continue
+            parts[k], parts[j] = parts[k] + parts[j], ""
+            after[k] = j = after[j]
+            if j < n:
+                before[j] = k
+                i = ids.get(parts[k] + parts[j])
+                if i is not None:
+                    heapq.heappush(heap, (-scores[i], k, size + len(parts[j])))
+            h = before[k]
+            if h >= 0:
+                i = ids.get(parts[h] + parts[k])
+                if i is not None:
+                    heapq.heappush(heap, (-scores[i], h, len(parts[h]) + size))
+        return [p for p in parts if p]
+
+    def blanks_merged(self, text: str) -> list[str]:
+        """What merged gives for a text that begins with blanks.
+
+        Where all runs of blanks tie in score, the first pair that can be joined always is, so that a long run becomes
+        longest pieces from its left, one like the next; all but its end, which the text behind may reach, is known.
+        """
+        if not self.period:
+            return self.merged(text)
+        known = max(0, len(text) - len(text.lstrip(BLANK)) - 4 * self.period) // self.period
+        return [BLANK * self.period] * known + self.merged(text[known * self.period :])
 
     def _follows(self, pair: int) -> bool:
         """May the second piece follow the first? After the start or an unknown character: do its own merges lead to it?"""
@@ -163,7 +200,7 @@ class Pieces:
         if self.kind == UNIGRAM:
             parts = self._unigram(text)
         elif text.startswith(BLANK * 2):
-            parts = self.merged(text)  # runs of blanks tie in score; the merges decide
+            parts = self.blanks_merged(text)  # runs of blanks tie in score; the merges decide
         else:
             parts = self._bpe(text)
         out: list[int] = []
