@@ -9,9 +9,11 @@ not reached and stays payload.
 
 Gzip archives (.gz, a member per record or one member) are read the same way, over the unpacked bytes.
 
-Defined cases: a null payload is empty; records whose header cannot be read end the chain of their file, so what
-follows is not returned; an empty table writes no record and reads as an empty result; ids may repeat, and then the
-record ids do too; extra columns are not written.
+Defined cases: a null payload is empty; a record that cannot be read ends the chain of its file: neither it nor what follows
+is returned. Such is a record whose header has no end, no Content-Length or one that is not a whole number, and one cut
+short, whose length (however large) reaches beyond the end of its file; the blank line after the last record may miss. An empty
+table writes no record and reads as an empty result; ids may repeat, and then the record ids do too; extra columns are
+not written.
 """
 
 from __future__ import annotations
@@ -88,6 +90,12 @@ def _field(header: Column, name: str) -> Column:
     return F.when(found != "", F.rtrim(found))
 
 
+def _length(header: Column) -> Column:
+    """Content-Length, null where it is not a whole number; one beyond 18 digits is beyond any file."""
+    told = _field(header, "Content-Length")
+    return F.when(told.rlike("^[0-9]+$"), F.when(F.length(told) <= 18, told.try_cast("long")).otherwise(F.lit(10**18)))
+
+
 _LINKS = "file string, blk long, mid long, off long, succ long, leaves long"
 
 
@@ -118,28 +126,40 @@ def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def candidates(segments: DataFrame) -> DataFrame:
-    """file, blk, mid (its rank in the split), off, succ of each segment; off is where its version line begins, succ is -1 if unreadable.
+    """file, blk, mid (its rank in the split), off, succ of each segment; off is where its version line begins, succ is -1 if it
+    cannot be read or ends beyond its file.
 
     The first segment of a file holds its own version line; the others begin after the separator.
     """
     sep = len(SPLIT)
     header = _header(F.col("value"))
-    length = _field(header, "Content-Length").cast("string")
-    slim = segments.select("file", "blk", "mid", "size", F.octet_length(header).cast("long").alias("head"), F.when(length.rlike("^[0-9]{1,18}$"), length).cast("long").alias("length"))
+    slim = segments.select("file", "blk", "mid", "size", F.octet_length(header).cast("long").alias("head"), _length(header).alias("length"))
     slim = settle(slim, "warc-segments")
     blocks = slim.groupBy("file", "blk").agg(F.sum(F.col("size") + sep).alias("total"), F.min("mid").alias("lowest"))
-    starts = blocks.select("file", "blk", "lowest", F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    ends = F.sum("total").over(Window.partitionBy("file")) - sep
+    starts = blocks.select("file", "blk", "lowest", ends.alias("end"), F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = F.coalesce(F.sum(F.col("size") + sep).over(Window.partitionBy("file", "blk").orderBy("mid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = slim.withColumn("inside", inside).join(starts, ["file", "blk"]).withColumn("at", F.col("base") + F.col("inside"))
     # `at` is where the segment's text begins; its version line begins 7 bytes earlier, but for the file's first.
     off = F.when(F.col("at") == 0, F.lit(0)).otherwise(F.col("at") - 7).cast("long")
-    succ = F.col("at") + F.col("head") + 4 + F.col("length") + 4
+    stop = F.col("at") + F.col("head") + 4 + F.col("length")
+    succ = F.when(stop <= F.col("end"), stop + 4)
     return placed.select("file", "blk", (F.col("mid") - F.col("lowest")).alias("mid"), off.alias("off"), F.coalesce(succ, F.lit(-1)).cast("long").alias("succ"))
 
 
 def reachable(found: DataFrame, rounds: int = 64) -> DataFrame:
     """The candidates that the file start reaches: file, blk, mid, off, succ."""
     found = settle(found.groupBy("file", "blk").applyInPandas(_follow, _LINKS), "warc-links")
+    reached = found.where("off = 0").select("file", "off")
+    if not found.groupBy("file").agg(F.min("blk").alias("lo"), F.max("blk").alias("hi")).where("lo < hi").isEmpty():
+        reached = _jumped(found, rounds)
+    marked = found.join(reached.withColumn("entry", F.lit(True)), ["file", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    real = marked.select("file", "blk", "mid", "off", "succ", "entry").groupBy("file", "blk").applyInPandas(_mark, "file string, blk long, mid long, off long, succ long, real boolean")
+    return settle(real, "warc-real")
+
+
+def _jumped(found: DataFrame, rounds: int) -> DataFrame:
+    """file, off of the entries of splits that the file starts reach, by pointer jumping."""
     exits = found.select("file", F.col("leaves").alias("off")).where("off >= 0").distinct()
     entries = found.join(exits, ["file", "off"], "left_semi").union(found.where("off = 0").select("file", "off", "blk", "mid", "succ", "leaves")).select("file", "off", F.col("leaves").alias("to")).distinct()
     jumps = settle(entries, "warc-entries")
@@ -153,9 +173,7 @@ def reachable(found: DataFrame, rounds: int = 64) -> DataFrame:
         reached, count = grown, now
         far = jumps.select("file", F.col("off").alias("to"), F.col("to").alias("next"))
         jumps = settle(jumps.join(far, ["file", "to"], "left").select("file", "off", F.coalesce("next", "to").alias("to")), "warc-jumps")
-    marked = found.join(reached.withColumn("entry", F.lit(True)), ["file", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
-    real = marked.select("file", "blk", "mid", "off", "succ", "entry").groupBy("file", "blk").applyInPandas(_mark, "file string, blk long, mid long, off long, succ long, real boolean")
-    return settle(real, "warc-real")
+    return reached
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -186,9 +204,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     joined = cut.select("file", F.expr("array_join(transform(parts, x -> x.value), sep)".replace("sep", "'" + SPLIT.replace("\r", "\\r").replace("\n", "\\n") + "'")).alias("value"))
     records = single.union(joined)
     header = _header(F.col("value"))
-    length = _field(header, "Content-Length").cast("long")
+    length = _length(header)
     start = F.octet_length(header) + 5
-    block = F.substring(F.col("value").cast("binary"), start, length.cast("int")).cast("string")
+    block = F.substring(F.col("value").cast("binary"), start, F.least(length, F.lit((1 << 31) - 1)).cast("int")).cast("string")
     is_http = F.coalesce(_field(header, "Content-Type"), F.lit("")).startswith("application/http")
     out = records.select("file", header.alias("header"), block.alias("block"), length.alias("block_length"), is_http.alias("http"))
     body = F.when(F.col("http"), F.expr(f"substring(block, instr(block, '{END}') + 4)".replace(END, "\\r\\n\\r\\n"))).otherwise(F.col("block"))
