@@ -5,8 +5,11 @@ A text is normalised (NFKC), case-folded, and its white space runs become single
 bucket's first document; texts that differ get a numbered digest of their own, so equal fingerprints mean equal
 canonical texts, always. The likeness of two exact digests is 1 or 0.
 
-Defined cases: a null text is the empty text; equal ids are ordered by text; a single document is its own next one; an
-empty table gives an empty result; lone surrogates cannot occur in Spark strings.
+Documents are dealt to ranges of descending ids; an id that fills ranges of its own is dealt further by its texts' hashes.
+
+Defined cases: a null text is the empty text; a null id stands after all others; equal ids are ordered by the hash of their
+texts, then by text; a single document is its own next one; an empty table gives an empty result; lone surrogates cannot
+occur in Spark strings.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import settle, shuffle_width
+from lakequill.llm.common import settle, shuffle_width, small_batches
 
 
 def canonical(text: str) -> str:
@@ -98,28 +101,32 @@ def _chain(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
 _COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "blob"]
 _ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, blob binary"
-#: Where a null id stands: after all others.
-_LAST = -(1 << 63)
+#: Where a null id stands: after all others. Values that a text's hash may take in the order of equal ids.
+_LAST, _SPAN = -(1 << 63), 1 << 30
 
 
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int | None = None) -> DataFrame:
-    """part, ord, doc_id, guest, text: ranges of descending ids, each with the first document of the range that follows.
+    """part, ord, mark, doc_id, guest, text: ranges of descending ids, each with the first document of the range that follows.
 
-    Texts move once. Only the range bounds, as many as ranges, are known to the driver.
+    Texts move once. Only the range bounds, as many as ranges, are known to the driver. An id that is several bounds at once
+    has as many ranges, by the hash of the text.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("ord", F.coalesce("doc_id", F.lit(_LAST)))
+    rows = rows.withColumn("ord", F.coalesce("doc_id", F.lit(_LAST))).withColumn("mark", F.pmod(F.xxhash64("text"), F.lit(_SPAN)))
     width = width or max(2, shuffle_width(docs.sparkSession))
-    cuts = rows.agg(F.percentile_approx("ord", [k / width for k in range(1, width)], 100 * width)).first()[0] or []
-    held = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts), reverse=True)]) if cuts else F.expr("array(0L)")
-    placed = rows.withColumn("part", F.size(F.filter(held, lambda c: F.col("ord") < c)) if cuts else F.lit(0))
-    heads = sorted(placed.groupBy("part").agg(F.max("ord")).collect())
-    empty = placed.select("part", "ord", "doc_id", F.lit(False).alias("guest"), "text")
+    cuts = sorted(rows.agg(F.percentile_approx("ord", [k / width for k in range(1, width)], 100 * width)).first()[0] or [], reverse=True)
+    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.expr("cast(array() as array<long>)")
+    own = F.size(F.filter(bounds, lambda c: c == F.col("ord")))
+    part = F.size(F.filter(bounds, lambda c: c > F.col("ord"))) + F.floor(F.col("mark") * own / F.lit(_SPAN)).cast("int")
+    placed = rows.withColumn("part", part)
+    place = F.struct((-1 - F.col("ord")).alias("below"), "mark")
+    heads = sorted((r.part, tuple(r.head)) for r in placed.groupBy("part").agg(F.min(place).alias("head")).collect())
+    empty = placed.select("part", "ord", "mark", "doc_id", F.lit(False).alias("guest"), "text")
     if not heads:
         return empty
-    to = F.create_map(*[F.lit(x) for k, (_, head) in enumerate(heads) for x in (head, heads[k - 1][0])])
-    once = placed.where(F.col("ord").isin([head for _, head in heads])).groupBy("ord", "doc_id").agg(F.min("text").alias("text"))
-    return empty.union(once.select(to[F.col("ord")].alias("part"), "ord", "doc_id", F.lit(True).alias("guest"), "text"))
+    before = docs.sparkSession.createDataFrame([(-1 - below, mark, heads[k - 1][0]) for k, (_, (below, mark)) in enumerate(heads)], "ord long, mark long, to int")
+    once = placed.join(F.broadcast(before), ["ord", "mark"]).groupBy("to", "ord", "mark", "doc_id").agg(F.min("text").alias("text"))
+    return empty.union(once.select(F.col("to").alias("part"), "ord", "mark", "doc_id", F.lit(True).alias("guest"), "text"))
 
 
 def verified(rows: DataFrame) -> DataFrame:
@@ -144,5 +151,6 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(shared_bitmap(docs, text))
     near = neighbours(docs, key, text)
-    dealt = near.repartition(max(shuffle_width(spark), 2), "part").sortWithinPartitions(F.col("part"), F.col("guest"), F.col("ord").desc(), F.col("text"))
-    return verified(settle(dealt.select("part", "doc_id", "guest", "text").mapInPandas(_chain(shared), _ROW), "fp-rows"))
+    width = max(2, shuffle_width(spark))
+    dealt = near.repartitionById(width, F.pmod(F.col("part"), F.lit(width))).sortWithinPartitions(F.col("part"), F.col("guest"), F.col("ord").desc(), F.col("mark"), F.col("text"))
+    return verified(settle(small_batches(dealt.select("part", "doc_id", "guest", "text")).mapInPandas(_chain(shared), _ROW), "fp-rows"))
