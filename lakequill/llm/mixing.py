@@ -3,7 +3,12 @@
 Tokens are counted once per document and summed per source. Targets follow by water filling: sources share the corpus
 total by weight, a source stops at `limit` times its own size, and what it cannot take is shared anew among the others.
 A document of a source with rate r is emitted floor(r) times and once more with probability r - floor(r), decided by
-a hash of its id and the seed, so reruns agree.
+a hash of its id and the seed, so reruns agree. The draw is compared with a threshold of its source, near r - floor(r): the
+one at which the words of the documents below it come nearest to the words wanted. So a source misses its target by no more than
+half of the words that share one draw (in general half a document), where draws of their own would miss it by chance.
+
+Thresholds are found without sorting a source: sizes are summed in DIGITS-wide ranges of the draw, and only the range in which
+the words wanted are reached is split further.
 
 Defined cases: a null text has size 0; null is a source of its own, after all others; documents of a source without
 words have rate 0; repeated rows are treated alike (the draw depends on the id); a null id draws as the empty string;
@@ -12,15 +17,17 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakequill.llm.common import settle
 
 #: Fixed value: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Fixed value: 13 hex digits of a hash are a fraction of this.
-SPAN = float(16**13)
+#: Hex digits of a draw, and of the ranges of draws in which sizes are summed before the draws themselves are looked at.
+HEX, DIGITS = 13, (3, 5)
 
 
 def words(text: Column) -> Column:
@@ -28,9 +35,8 @@ def words(text: Column) -> Column:
 
 
 def draw(key: Column, seed: str) -> Column:
-    """A number in [0, 1) that depends on key and seed alone."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(SPAN)
+    """13 hex digits that depend on key and seed alone: a number in [0, 1), written in base 16."""
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13)
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -39,8 +45,6 @@ def ranked(sources: DataFrame) -> DataFrame:
     The rank is taken in ranges: sources are dealt into ranges by their first bytes, ranked inside, and shifted by the
     counts of the ranges before, so that no task sees all sources unless their names share a beginning.
     """
-    from pyspark.sql import Window
-
     begin = F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), F.hex(F.substring(F.col("source").cast("binary"), 1, 2))))
     named = sources.withColumn("_range", begin)
     counts = named.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
@@ -70,37 +74,60 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...], limit: int) -> Data
     return weighted.withColumn("target", F.when(full, (F.col("source_size") * limit).cast("double")).otherwise(even))
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[int, ...] = (5, 2, 1),
-    limit: int = 3,
-    seed: str = "mix",
-    text: str = "text",
-    key: str = "doc_id",
-    source: str = "source",
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """One row per document: key, the columns in keep, size, source_size, target, rate, copies, taken."""
-    slim = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    sized = slim if keep else settle(slim, "mix-sizes")
-    sums = settle(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    plan = settle(water_fill(settle(ranked(sums), "mix-ranked"), weights, limit).select(F.col("source").alias("_source"), "source_size", "target"), "mix-plan")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    one = F.when(draw(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return (
-        sized.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("rate", rate)
-        .withColumn("copies", (F.floor("rate") + one).cast("long"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken", *[F.col(f"kept_{c}").alias(c) for c in keep])
-    )
+def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan (_source, source_size, target) with rate and `below`: draws up to it take one more copy (null: none does).
 
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    Of a source's draws in ascending order those are in whose middle word is not beyond the words wanted.
+    """
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rated = plan.withColumn("rate", rate).withColumn("wanted", F.col("target") - F.floor("rate") * F.col("source_size"))
+    open_ = settle(rated.where("rate > floor(rate)").select("_source", F.col("wanted"), F.lit(0).cast("long").alias("_before"), F.lit("").alias("_range")), "mix-open")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    for digits in (*DIGITS, HEX):
+        # The ranges of `digits` digits inside the open one; the last round has one draw in each.
+        inside = sized.select("source", "size", "draw").join(open_, same & F.col("draw").startswith(F.col("_range")))
+        sums = inside.groupBy("_source", "wanted", "_before", F.substring("draw", 1, digits).alias("_range")).agg(F.sum("size").alias("_size"))
+        ahead = F.coalesce(F.sum("_size").over(Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = sums.withColumn("_before", F.col("_before") + ahead)
+        if digits < HEX:
+            # The first range that reaches beyond the words wanted; there is one, as they are fewer than the source's.
+            reach = placed.where(F.col("_before") + F.col("_size") > F.col("wanted"))
+            open_ = settle(reach.groupBy("_source", "wanted").agg(F.min(F.struct("_range", "_before")).alias("r")).select("_source", "wanted", "r._before", "r._range"), "mix-open")
+    taken = F.col("_before") + F.col("_size") / 2 <= F.col("wanted")
+    # Without a draw of the open range, those before it are in: they come before its first digits, its own after.
+    found = placed.groupBy("_source").agg(F.coalesce(F.max(F.when(taken, F.col("_range"))), F.substring(F.min("_range"), 1, max(DIGITS))).alias("below"))
+    named = found.withColumnRenamed("_source", "_own")
+    return rated.join(named, F.col("_source").eqNullSafe(F.col("_own")), "left").select("_source", "source_size", "target", "rate", "below")
+
+
+def _sizes(docs: DataFrame, seed: str, text: str, key: str, source: str) -> tuple[DataFrame, Callable[[tuple[int, ...], int], DataFrame]]:
+    slim = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), draw(F.col(key), seed).alias("draw"))
+    sized = settle(slim, "mix-sizes")
+
+    def plan(weights: tuple[int, ...], limit: int) -> DataFrame:
+        sums = settle(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+        filled = water_fill(settle(ranked(sums), "mix-ranked"), weights, limit).select(F.col("source").alias("_source"), "source_size", "target")
+        return settle(thresholds(sized, settle(filled, "mix-filled")), "mix-plan")
+
+    return sized, plan
+
+
+def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (source, draw) with the columns of their source's plan and `copies`."""
+    one = F.when(F.col("draw") <= F.col("below"), 1).otherwise(0)
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", (F.floor("rate") + one).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3, seed: str = "mix", text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, rate, copies, taken."""
+    sized, plan = _sizes(docs, seed, text, key, source)
+    return _copies(sized, plan(weights, limit)).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3, seed: str = "mix", text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """docs with every row repeated as often as the mix takes it; the columns stay as they are."""
-    names = docs.columns
-    key, source = options.get("key", "doc_id"), options.get("source", "source")
-    own = {c: f"_{k}" for k, c in enumerate(names)}
-    whole = docs.select(*[F.col(c).alias(own[c]) for c in names])
-    out = mix(whole, **options | {"key": own[key], "source": own[source], "text": own[options.get("text", "text")], "keep": tuple(own.values())})
-    return out.where("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(*[F.col(own[c]).alias(c) for c in names])
+    own = {c: f"_{k}" for k, c in enumerate(docs.columns)}
+    _, plan = _sizes(docs, seed, text, key, source)
+    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.col(source).alias("source"), draw(F.col(key), seed).alias("draw"))
+    out = _copies(whole, plan(weights, limit))
+    return out.where("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(*[F.col(n).alias(c) for c, n in own.items()])
