@@ -1,9 +1,9 @@
 """Suffix deduplication: every byte covered by a WINDOW-byte string that also starts earlier goes.
 
-Only suffixes cut to WINDOW bytes matter, and of those only which are equal and which comes first. Suffixes are compared
-by prefix polynomial hashes and put in order by a stable mergesort on them, so that equal ones stand together with the
-earliest first; each is then verified byte by byte against the earliest. (The order among unequal suffixes is that of
-their hashes unless the alphabet's is asked for; README has the reasons and figures.)
+Only suffixes cut to WINDOW bytes matter, and of those only which are equal and which comes first. Suffixes are put in
+alphabetical order by stable mergesorts: on their first bytes, then, among those that tie, on the bytes behind what all of a
+tie have in common, which a binary search over prefix polynomial hashes finds in logarithmic steps. So equal suffixes stand
+together with the earliest first; each is then verified byte by byte against the earliest, against collisions.
 
 No table of all suffixes is made. Texts are packed; each window of a pack chooses the smallest hash among the GRAM-byte
 strings it holds as its anchor, so equal windows choose equal anchors. Anchors that occur once anywhere cannot belong
@@ -26,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.bytesx import chunks, groups, mixed, piece_hash, prefix_hash, strings
-from lakequill.llm.common import settle, shuffle_width, small_batches
+from lakequill.llm.bytesx import INVERSE, chunks, groups, mixed, piece_hash, powers, prefix_hash, strings
+from lakequill.llm.common import release, settle, shuffle_width, small_batches
 from lakequill.llm.ngram_join import NO_ID
 
 WINDOW, GRAM = 100, 32
 #: Bytes of text in a pack; a longer text is a pack of its own.
 PACK = 2 << 20
+#: Bytes of text, of which what repeats across packs may come to one bucket and to one task.
+BUCKET, TASK = 32 << 20, 128 << 20
 #: Windows whose anchors are found at a time; their places fit in the low bits below.
 STEP, LOW = 1 << 18, np.uint64((1 << 21) - 1)
 
@@ -76,50 +78,77 @@ def anchors(prefix: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(begins), np.concatenate(counts), mixed(piece_hash(prefix, place, place + GRAM) + np.uint64(1))
 
 
-def _after(data: np.ndarray, prefix: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Do the windows at p come after those at q? A binary search on hashes finds how far they agree."""
-    low, high = np.zeros(len(p), np.int64), np.full(len(p), WINDOW, np.int64)
-    while (low < high).any():
-        mid = (low + high + 1) // 2
-        same = piece_hash(prefix, p, p + mid) == piece_hash(prefix, q, q + mid)
-        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    at = np.minimum(low, WINDOW - 1)
-    return np.where(low == WINDOW, p > q, data[p + at] > data[q + at])
+def common(prefix: np.ndarray, p: np.ndarray, q: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """How far the windows at p and q agree, at least `least`: a binary search on the hashes of what they begin with."""
+    back = powers(INVERSE, len(prefix))
+    hp, hq, ip, iq = prefix[p], prefix[q], back[p], back[q]
+    # Most that agree further agree to their end.
+    whole = (prefix[p + WINDOW] - hp) * ip == (prefix[q + WINDOW] - hq) * iq
+    low, high = np.where(whole, WINDOW, least), np.full(len(p), WINDOW, np.int64)
+    high[~whole] -= 1
+    while (todo := np.flatnonzero(low < high)).size:
+        mid = (low[todo] + high[todo] + 1) // 2
+        same = (prefix[p[todo] + mid] - hp[todo]) * ip[todo] == (prefix[q[todo] + mid] - hq[todo]) * iq[todo]
+        low[todo], high[todo] = np.where(same, mid, low[todo]), np.where(same, high[todo], mid - 1)
+    return low
 
 
 def alphabetical(data: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The order of the windows at `at` (ascending) by their bytes, equal ones by place: a mergesort, all runs of a width at
-    once. Every window finds its rank in the run that its own is merged with by binary search."""
-    k, now, run = np.arange(len(at)), at.copy(), 1
-    while run < len(at):
-        base, left = k // (2 * run) * (2 * run), k % (2 * run) < run
-        begin = np.minimum(np.where(left, base + run, base), len(at))
-        end = np.minimum(np.where(left, base + 2 * run, base + run), len(at))
-        low = begin.copy()
-        while (low < end).any():
-            todo = np.flatnonzero(low < end)
-            mid = (low[todo] + end[todo]) // 2
-            late = _after(data, prefix, now[todo], now[mid])
-            low[todo[late]] = mid[late] + 1
-            end[todo[~late]] = mid[~late]
-        merged = np.empty_like(now)
-        merged[np.where(left, k, k - run) + low - begin] = now
-        now, run = merged, 2 * run
-    return np.searchsorted(at, now)
-
-
-def repeated(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, by_bytes: bool = False) -> np.ndarray:
+    """The order of the windows at `at` (ascending) by their bytes, equal ones by place."""
+    n = len(at)
+    data = np.ascontiguousarray(data)
+    # The 8 bytes at every place as a number that sorts like them. Near a window's end, those at its end: what they hold
+    # of bytes before is the same in all of a tie.
+    wide = np.ndarray(max(0, len(data) - 7), dtype=">u8", buffer=data, strides=(1,)) if len(data) > 7 else np.zeros(0, ">u8")
+    letters = lambda p, depth: wide[p + np.minimum(depth, WINDOW - 8)].astype(np.uint64)
+    key = letters(at, 0)
+    order = np.argsort(key, kind="stable")
+    tied = np.zeros(n + 1, dtype=bool)
+    key = key[order]
+    tied[1:-1] = key[1:] == key[:-1]
+    # Places in the order that tie with a neighbour, the tie of each, and what all of a tie are known to share.
+    spot = np.flatnonzero(tied[1:] | tied[:-1])
+    begins = ~tied[spot]
+    tie, depth = np.cumsum(begins) - 1, np.full(int(begins.sum()), 8, np.int64)
+    while len(spot):
+        p = at[order[spot]]
+        key = letters(p, depth[tie])
+        inner = np.flatnonzero(tie[1:] == tie[:-1])
+        parted = np.zeros(len(depth), dtype=bool)
+        parted[tie[inner[key[inner] != key[inner + 1]]]] = True
+        # Ties that the next bytes do not part are looked at further on, where their nearest two part; or nowhere.
+        inner = inner[~parted[tie[inner]]]
+        share = np.where(parted, depth, WINDOW)
+        np.minimum.at(share, tie[inner], common(prefix, p[inner], p[inner + 1], depth[tie[inner]]))
+        rest = share[tie] < WINDOW
+        if not rest.any():
+            break
+        spot, tie, p, key, late = spot[rest], tie[rest], p[rest], key[rest], ~parted[tie[rest]]
+        key[late] = letters(p[late], share[tie[late]])
+        moved = np.lexsort((key, tie))
+        order[spot] = order[spot][moved]
+        key, tie = key[moved], tie[moved]
+        same = np.zeros(len(spot) + 1, dtype=bool)
+        same[1:-1] = (tie[1:] == tie[:-1]) & (key[1:] == key[:-1])
+        keep = same[1:] | same[:-1]
+        begins = ~same[:-1][keep]
+        spot, old = spot[keep], tie[keep]
+        tie = np.cumsum(begins) - 1
+        depth = np.minimum(share[old[begins]] + 8, WINDOW)
+    return order
+
+
+def repeated(data: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which of the windows at `at`, given in order of precedence and place, equal an earlier one.
 
-    With by_bytes the order is the alphabet's, else that of the windows' hashes; either mergesort brings equal windows
-    together. A window whose left neighbour repeats the left neighbour of the same earlier window needs one byte
+    The sort brings equal windows together. A window whose left neighbour repeats the left neighbour of the same earlier window needs one byte
     compared, others all.
     """
     n = len(at)
     if not n:
         return np.zeros(0, dtype=bool)
     h = piece_hash(prefix, at, at + WINDOW)
-    order = alphabetical(data, prefix, at) if by_bytes else np.argsort(h, kind="stable")
+    order = alphabetical(data, prefix, at)
     sorted_h = h[order]
     new = np.ones(n, dtype=bool)
     new[1:] = sorted_h[1:] != sorted_h[:-1]
@@ -236,7 +265,7 @@ def _meet_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _RUN = np.dtype([("id", "<i8"), ("pos", "<i8"), ("at", "<i4"), ("n", "<i4")])
 
 
-def _send_runs(buckets: int, by_bytes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _send_runs(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows per bucket: runs and their bytes. The row of bucket -1 holds the windows that repeat within the pack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +283,7 @@ def _send_runs(buckets: int, by_bytes: bool) -> Callable[[Iterator[pa.RecordBatc
             owner = np.repeat(runs, own.count[runs])
             order = np.argsort(window, kind="stable")
             window, owner = window[order], owner[order]
-            dup = repeated(own.data, own.prefix, window, by_bytes)
+            dup = repeated(own.data, own.prefix, window)
             gone = np.zeros(len(own.data), dtype=bool)
             gone[window[dup]] = True
             out = [(-1, b"", press.compress(np.packbits(gone).tobytes()))]
@@ -277,7 +306,7 @@ def _send_runs(buckets: int, by_bytes: bool) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def _meet_runs(by_bytes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _meet_runs() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For each pack and bucket, a bit per window that was sent: does another pack have it earlier?"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +323,7 @@ def _meet_runs(by_bytes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             data = data[_spread(start[order], size[order])]
             many = runs["n"].astype(np.int64)
             begin = np.cumsum(size[order]) - size[order]
-            late = repeated(data, prefix_hash(data), _spread(begin, many[order]), by_bytes)
+            late = repeated(data, prefix_hash(data), _spread(begin, many[order]))
             # Back to the order in which the windows were sent.
             back = np.zeros(len(late), dtype=bool)
             back[_spread((np.cumsum(many) - many)[order], many[order])] = late
@@ -338,22 +367,26 @@ def _cut(texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def dedup_substrings(docs: DataFrame, texts: bool = False, by_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with texts the kept bytes.
-
-    by_bytes sorts suffixes alphabetically; the result is the same (README has what it costs).
-    """
-    width = max(2, shuffle_width(docs.sparkSession))
-    buckets = 4 * width
+def dedup_substrings(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with texts the kept bytes."""
     packed = settle(packs(docs), "suffix-packs")
+    total = packed.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    # A bucket is held by a task at a time, so their number follows the text; so does that of the tasks.
+    width = max(2, shuffle_width(docs.sparkSession), -(-total // TASK))
+    buckets = max(4 * width, -(-total // BUCKET))
     sent = packed.mapInArrow(_send_anchors(buckets), "bucket long, pack long, hashes binary")
-    met = sent.repartition(width, "bucket").sortWithinPartitions("bucket", "pack").mapInArrow(_meet_anchors, "pack long, bucket long, bits binary")
+    met = _by_bucket(sent, width).mapInArrow(_meet_anchors, "pack long, bucket long, bits binary")
     flags = met.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("flags"))
     flags = settle(flags, "suffix-flags")
-    runs = settle(packed.join(flags, "pack", "left").mapInArrow(_send_runs(buckets, by_bytes), "bucket long, pack long, runs binary, blob binary"), "suffix-runs")
-    told = runs.where("bucket >= 0").repartition(width, "bucket").sortWithinPartitions("bucket", "pack").mapInArrow(_meet_runs(by_bytes), "pack long, bucket long, bits binary")
-    told = settle(told, "suffix-bits")
+    runs = settle(packed.join(flags, "pack", "left").mapInArrow(_send_runs(buckets), "bucket long, pack long, runs binary, blob binary"), "suffix-runs")
+    release(flags)
+    told = settle(_by_bucket(runs.where("bucket >= 0"), width).mapInArrow(_meet_runs(), "pack long, bucket long, bits binary"), "suffix-bits")
     parts = runs.select("pack", "bucket", "runs", F.when(F.col("bucket") < 0, F.col("blob")).alias("own")).join(told, ["pack", "bucket"], "left")
     parts = parts.groupBy("pack").agg(F.collect_list(F.struct("bucket", "runs", "own", "bits")).alias("parts"))
     out = packed.join(parts, "pack", "left").mapInArrow(_cut(texts), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), *out.columns[1:])
+
+
+def _by_bucket(rows: DataFrame, width: int) -> DataFrame:
+    """rows in as many tasks, buckets being numbered through: every task has as many."""
+    return rows.repartitionById(width, F.pmod(F.col("bucket"), F.lit(width)).cast("int")).sortWithinPartitions("bucket", "pack")
