@@ -5,19 +5,26 @@ becomes another of the same length and issuer digit that passes the check digit,
 another address, a date another date of the same form, and so on. The permutation depends on the key and the format
 alone, so equal values get equal pseudonyms in every document and stay linked. Length in characters never changes.
 
-What is found: card numbers (13 to 19 digits, Luhn), IBANs (mod 97), phone numbers, IPv4 addresses, social security
+What is found: card numbers (13 to 19 digits, Luhn), IBANs (mod 97), phone numbers (+1 and ten digits; ten digits as
+(ddd) ddd-dddd, ddd-ddd-dddd or ddd.ddd.dddd; + and 8 to 15 digits in two groups or more), IPv4 addresses, social security
 numbers, ISO and slashed dates, mail addresses (the local part), and secrets assigned in quotes (hex digits).
-What fails its validation is left as it is, and the search goes on inside it.
+What fails its validation is left as it is, and the search goes on inside it. Left out: phone numbers without a
+separator or a plus sign, domains of mail addresses, IPv6 addresses, written-out dates, digits other than ASCII's.
+
+Values of one form are permuted among themselves, so different values keep different pseudonyms. Of the slashed dates,
+those that can be read month first are one form, those that can only be read day first (a day after the 12th) another.
 
 A card number ends where its digits do or at a blank, as more numbers may follow: of those that begin at one place an
 ungrouped one or one in usual groups (fours, 4-6-5, 4-6-4) goes first. Groups of any other size count where they hold
 no such card and no other value: all that the pattern takes, or less where all but the last have four digits or more.
 
-Defined cases: a null text stays null; an empty text stays empty; values inside longer words or numbers are not values.
+Defined cases: a null text stays null; an empty text stays empty; values inside longer words or numbers are not values; the
+key must be given, and an empty one is refused.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -35,17 +42,18 @@ ROUNDS = 10
 REMEMBERED = 100_000
 
 OTHERS = (
-    r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<mail>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<mail>(?<![\w.+-])\w[\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|key)\s*[=:]\s*[\"'])(?P<hex>[0-9A-Fa-f]{16,})(?=[\"']))"
-    r"|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d))"
-    r"|(?P<date>(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w/]|-\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w(])\(\d{3}\) \d{3}-\d{4}(?!\w))"
+    r"|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![\w]|\.[0-9]))"
+    r"|(?P<date>(?<![\w/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/]|-[0-9]))"
+    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w(])\([0-9]{3}\) [0-9]{3}-[0-9]{4}(?!\w)"
+    r"|(?<![\w.-])[0-9]{3}(?P<sep>[.-])[0-9]{3}(?P=sep)[0-9]{4}(?![\w-]|\.[0-9])|(?<![\w+])\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?!\w))"
 )
 NO_CARD = re.compile(OTHERS)
-PATTERN = re.compile(OTHERS + r"|(?P<card>(?<![\w-])(?:\d[ -]?){12,18}\d(?![\w]|-\d))")
-DIGITS, CARD_END = re.compile(r"\d+"), re.compile(r"(?![\w]|-\d)")
+PATTERN = re.compile(OTHERS + r"|(?P<card>(?<![\w-])(?:[0-9][ -]?){12,18}[0-9](?![\w]|-[0-9]))")
+DIGITS, CARD_END = re.compile(r"[0-9]+"), re.compile(r"(?![\w]|-[0-9])")
 
 #: Every value holds one of these, so texts without them need no search.
 SIGN = r"[0-9@]|(?i:token|secret|passw|key)"
@@ -113,11 +121,12 @@ class Feistel:
 def refill(form: str, digits: str) -> str:
     """form with its digits replaced in order."""
     given = iter(digits)
-    return "".join(next(given) if c.isdigit() else c for c in form)
+    return "".join(next(given) if c in "0123456789" else c for c in form)
 
 
-#: The first and one past the last day that dates are permuted among.
+#: The first and one past the last day that dates are permuted among, and those of them that only read day first.
 DAYS = (datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal())
+LATE_DAYS = [d for d in range(*DAYS) if datetime.date.fromordinal(d).day > 12]
 LOCAL = "abcdefghijklmnopqrstuvwxyz0123456789"
 HEX = "0123456789abcdef"
 
@@ -181,16 +190,20 @@ class Pseudonyms:
         return str(self.cipher.permute(int(digits), 10 ** len(digits), kind)).zfill(len(digits)) if digits else digits
 
     def _card(self, value: str) -> str:
-        digits = re.sub(r"\D", "", value)
+        digits = re.sub(r"[^0-9]", "", value)
         if not digits or not luhn(digits) or not digits.strip("0"):
             return value
         body = digits[0] + self._number(digits[1:-1], "card" + digits[0])
         return refill(value, body + check_digit(body))
 
     def _phone(self, value: str) -> str:
-        digits = re.sub(r"\D", "", value)
-        lead = digits[:-10]
-        return refill(value, lead + self._number(digits[-10:], "phone"))
+        digits = re.sub(r"[^0-9]", "", value)
+        if not value.startswith("+") or value.startswith("+1") and len(digits) == 11:
+            return refill(value, digits[:-10] + self._number(digits[-10:], "phone"))
+        if not 8 <= len(digits) <= 15:
+            return value
+        # A country's code has up to three digits; what it may be stays.
+        return refill(value, digits[:3] + self._number(digits[3:], "phone" + digits[:3]))
 
     def _ssn(self, value: str) -> str:
         if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" or value[7:] == "0000":
@@ -224,8 +237,11 @@ class Pseudonyms:
                 continue
             if not DAYS[0] <= day < DAYS[1]:
                 return value
-            other = datetime.date.fromordinal(DAYS[0] + self.cipher.permute(day - DAYS[0], DAYS[1] - DAYS[0], "date"))
-            return other.strftime(form)
+            if form == "%d/%m/%Y":  # its month-first reading has failed, so the day is after the 12th
+                other = LATE_DAYS[self.cipher.permute(bisect.bisect_left(LATE_DAYS, day), len(LATE_DAYS), "day first")]
+            else:
+                other = DAYS[0] + self.cipher.permute(day - DAYS[0], DAYS[1] - DAYS[0], "date")
+            return datetime.date.fromordinal(other).strftime(form)
         return value
 
     def _letters(self, value: str, alphabet: str, kind: str) -> str:
@@ -260,8 +276,13 @@ class Pseudonyms:
         return "".join(c if c == " " else next(whole) for c in value)
 
 
-def pseudonymise(docs: DataFrame, key: str = "lakequill", text: str = "text") -> DataFrame:
-    """docs with the text column rewritten; all other columns and the schema stay as they are. No row moves."""
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """docs with the text column rewritten; all other columns and the schema stay as they are. No row moves.
+
+    Who has the key can invert the pseudonyms: it is the caller's to choose and to keep.
+    """
+    if not key:
+        raise ValueError("a key is needed")
     secret = key.encode()
     at = docs.columns.index(text)
 
@@ -278,7 +299,7 @@ def pseudonymise(docs: DataFrame, key: str = "lakequill", text: str = "text") ->
     return small_batches(docs).mapInArrow(run, docs.schema)
 
 
-def pseudonym_rows(docs: DataFrame, key: str = "lakequill") -> DataFrame:
+def pseudonym_rows(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, n_chars, changed, text: every document with its values replaced."""
     slim = docs.select("doc_id", F.col("text"), F.sha2(F.col("text"), 256).alias("before"))
     out = pseudonymise(slim, key)

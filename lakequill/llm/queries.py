@@ -13,6 +13,11 @@ from lakequill.llm import fingerprint, flat_graph, mixing, ngram_join, pii, qual
 MODEL_PATH = os.environ.get("LAKEQUILL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key of the pseudonyms: spark.lakequill.pii.key or LAKEQUILL_PII_KEY; on the synthetic tables, a public one."""
+    return spark.conf.get("spark.lakequill.pii.key", None) or os.environ.get("LAKEQUILL_PII_KEY") or "public key for synthetic tables"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,7 +49,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonym_rows(table(spark, sf_dir, "documents"))
+    return pii.pseudonym_rows(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,13 +92,43 @@ WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_WO
                            (SELECT sum(w) FROM placed)::HUGEINT - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS share FROM ordered),
      turn AS (SELECT k, rest, share FROM running WHERE w * rest <= 3 * s * share ORDER BY k LIMIT 1),
      plan AS (SELECT o.source, o.s, CASE WHEN o.k < t.k THEN (3 * o.s)::DOUBLE ELSE (o.w * t.rest)::DOUBLE / t.share::DOUBLE END AS target FROM ordered o, turn t),
-     rated AS (SELECT doc_id, size, s AS source_size, target, CASE WHEN s > 0 THEN target / s ELSE 0 END AS rate,
-                      ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS draw
-               FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source)
-SELECT doc_id, size, source_size, target,
-       (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size AS taken,
-       (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies
-FROM rated
+     rated AS (SELECT doc_id, sized.source, size, s AS source_size, target, CASE WHEN s > 0 THEN target / s ELSE 0 END AS rate, substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13) AS draw
+               FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source),
+     drawn AS (SELECT source, draw, sum(size)::DOUBLE AS words FROM rated GROUP BY source, draw),
+     lined AS (SELECT source, draw, words, coalesce(sum(words) OVER (PARTITION BY source ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM drawn),
+     told AS (SELECT r.*, floor(rate) + CASE WHEN rate > floor(rate) AND before + words / 2 <= target - floor(rate) * source_size THEN 1 ELSE 0 END AS copies
+              FROM rated r JOIN lined l ON r.source IS NOT DISTINCT FROM l.source AND r.draw = l.draw)
+SELECT doc_id, size, source_size, target, copies::BIGINT * size AS taken, copies::BIGINT AS copies FROM told
+"""
+
+OP4 = """
+WITH RECURSIVE crc AS (SELECT range AS b, list_reduce([range::BIGINT] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256)),
+     crcs AS (SELECT list(t ORDER BY b) AS t FROM crc),
+     d AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, hex(coalesce(text, '')) AS h, doc_id::HUGEINT + CASE WHEN doc_id < 0 THEN 18446744073709551616 ELSE 0 END AS key FROM documents),
+     summed AS (SELECT doc_id, size, key, xor(list_reduce([4294967295::BIGINT] || [('0x' || b)::BIGINT FOR b IN regexp_extract_all(h, '..')],
+                                                        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crcs),
+     jump AS (SELECT doc_id, coalesce(key, 0) AS s, -1::BIGINT AS b, 0::BIGINT AS j FROM d
+              UNION ALL
+              SELECT doc_id, g, j, floor((j + 1) * (2147483648::DOUBLE / ((g // 8589934592) + 1)::DOUBLE))::BIGINT
+              FROM (SELECT doc_id, j, (s * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS g FROM jump WHERE j < 41)),
+     dealt AS (SELECT doc_id, max(j) FILTER (j < 40) AS shard, max(j) FILTER (j < 41) AS grown_shard FROM jump GROUP BY doc_id)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot, grown_shard::INTEGER AS grown_shard
+FROM summed JOIN dealt USING (doc_id)
+"""
+
+OP8 = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+     block AS (SELECT doc_id, j, substr(h, 200 * j + 1, 398) AS h FROM (SELECT doc_id, h, unnest(range((n + 99) // 100)) AS j FROM d WHERE n >= 100)),
+     w AS (SELECT doc_id, 100 * j + i AS k, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, j, h, unnest(range(100)) AS i FROM block) WHERE 2 * i + 200 <= len(h)),
+     late AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS place FROM w) WHERE place > 1),
+     edge AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 100 THEN 0 ELSE 1 END AS new FROM late),
+     part AS (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS i FROM edge),
+     span AS (SELECT doc_id, i, min(k) AS a, max(k) + 100 AS b FROM part GROUP BY doc_id, i),
+     gap AS (SELECT doc_id, i, b - a AS size, substr(h, 2 * before + 1, 2 * (a - before)) AS piece, CASE WHEN last THEN substr(h, 2 * b + 1) ELSE '' END AS tail
+             FROM (SELECT s.*, h, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY i), 0) AS before, lead(b) OVER (PARTITION BY doc_id ORDER BY i) IS NULL AS last FROM span s JOIN d USING (doc_id))),
+     cut AS (SELECT doc_id, sum(size)::BIGINT AS gone, count(*) AS spans, string_agg(piece || tail, '' ORDER BY i) AS kept FROM gap GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
 """
 
 OP6 = f"""
@@ -123,4 +158,4 @@ FROM v JOIN comp ON comp.a = vec_id LEFT JOIN own ON own.a = vec_id
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others are tested against brute force in tests/llm."""
-    return {"op1_warc": OP1, "op2_mixing": OP2, "op6_ngram_jaccard": OP6, "op9_embedding_dedup": OP9}
+    return {"op1_warc": OP1, "op2_mixing": OP2, "op4_sharding": OP4, "op8_suffix_dedup": OP8, "op6_ngram_jaccard": OP6, "op9_embedding_dedup": OP9}
