@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakequill.llm import mixing, ngram_join, pii, quality, sentencepieces
 from lakequill.llm.common import settle
-from lakequill.llm.queries import MODEL_PATH, table
+from lakequill.llm.queries import MODEL_PATH, pii_key, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal values replaced by their pseudonyms."""
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, pii_key(spark))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
