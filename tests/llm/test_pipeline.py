@@ -31,7 +31,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             rows = spark.createDataFrame(list(before.values()))
             assert len(after) == len(ids) == len({r.component_id for r in ngram_join.jaccard_join(rows).collect()})
         if name == "pii":
-            names = pii.Pseudonyms(b"lakequill")
+            names = pii.Pseudonyms(q.pii_key(spark).encode())
             assert all(r.text == names.text(before[r.doc_id].text) for r in after)
         if name == "mixing":
             assert ids <= set(before) and max(sum(r.doc_id == i for r in after) for i in ids) <= 3

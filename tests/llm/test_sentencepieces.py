@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import pytest
 
@@ -29,6 +30,29 @@ def test_pieces_equal_the_librarys(model):
         assert mine.decode(mine.encode(t)) == t.replace("▁", " ")
 
 
+def test_long_runs_equal_the_librarys(model):
+    import sentencepiece
+
+    mine, theirs, rng = sp.Pieces(model), sentencepiece.SentencePieceProcessor(model_proto=model), random.Random(4)
+    began = time.time()
+    for t in (" " * 1_000_000, "x" + " " * 99_999 + "the", "a" * 50_000, (" " * 777 + "\n") * 50, " " * 70 + "the\n" + " " * 33):
+        assert mine.encode(t) == theirs.encode(t)
+    assert time.time() - began < 20 and max(map(len, [*mine.known, *mine.words])) <= sp.LONGEST
+    for _ in range(300):
+        t = sp.BLANK * rng.randrange(300) + "".join(rng.choice("a▁the▁▁\t") for _ in range(rng.randrange(12)))
+        assert mine.blanks_merged(t) == mine.merged(t) == plain_merges(mine, t)
+
+
+def plain_merges(pieces, text):
+    parts = list(text)
+    while True:
+        scores = [pieces.scores[pieces.ids[a + b]] if a + b in pieces.ids else None for a, b in zip(parts, parts[1:], strict=False)]
+        if not [s for s in scores if s is not None]:
+            return parts
+        k = scores.index(max(s for s in scores if s is not None))
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
 def test_unigram_viterbi_is_the_best_path():
     from sentencepiece import sentencepiece_model_pb2 as proto
 
