@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -202,7 +203,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, dim, vec (the doubles' bytes; null for a vector that cannot link) of every row."""
     for batch in batches:
         column = batch.column(1)
-        size = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
         blobs = np.full(len(batch), None, dtype=object)
         for dim in np.unique(size[size > 0]):
             at = np.flatnonzero(size == dim)
@@ -251,7 +252,7 @@ def _dealt_finer(overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             if not len(head):
                 continue
             centres = np.frombuffer(head[0].as_py(), dtype=np.float64).reshape(-1, dim)
-            mine = table.filter(pa.compute.is_valid(table["vec"]))
+            mine = table.filter(pc.is_valid(table["vec"]))
             shard = mine["shard"][0].as_py()
             ids = mixed(np.arange(1, len(centres) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(shard % (1 << 64))).view(np.int64)
             top = np.argsort(-(unit(_matrix(mine["vec"])) @ centres.T), axis=1, kind="stable")[:, :overlap]

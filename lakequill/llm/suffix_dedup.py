@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -186,7 +187,7 @@ def packs(docs: DataFrame, pack: int = PACK) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, press = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            batch = batch.take(pa.compute.sort_indices(batch.column(0)))
+            batch = batch.take(pc.sort_indices(batch.column(0)))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = strings(batch.column(1))
             for lo, hi in chunks(offsets, pack):
