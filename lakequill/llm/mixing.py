@@ -27,7 +27,7 @@ from lakequill.llm.common import settle
 #: Fixed value: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of a draw, and of the ranges of draws in which sizes are summed before the draws themselves are looked at.
-HEX, DIGITS = 13, (4,)
+HEX, DIGITS = 13, (2, 4)
 
 
 def words(text: Column) -> Column:
