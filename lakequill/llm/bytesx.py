@@ -15,18 +15,28 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
 
-_powers: dict[int, np.ndarray] = {}
+#: A power is the product of two table entries, one for the low bits of its exponent and one for the others.
+POWER_BITS = 16
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 to base^(n-1) modulo 2^64; kept and doubled as longer texts come."""
-    have = _powers.get(base)
+def _table(base: int, step: int, n: int) -> np.ndarray:
+    """base^0, base^step, ... , n of them at least, modulo 2^64; kept, and made anew, twice as long, as longer texts come."""
+    have = _powers.get((base, step))
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        have = np.ones(size, dtype=np.uint64)
-        np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]), out=have)
-        _powers[base] = have
-    return have[:n]
+        have = np.full(1 << int(n - 1).bit_length(), pow(base, step, 1 << 64), dtype=np.uint64)
+        have[0] = 1
+        _powers[base, step] = np.multiply.accumulate(have, out=have)
+    return have
+
+
+def power(base: int, at: np.ndarray) -> np.ndarray:
+    """base^k modulo 2^64 for every k of at; the tables take a few bytes for each 10,000 of the largest."""
+    size = 1 << POWER_BITS
+    out = _table(base, 1, size)[at & (size - 1)]
+    far = at >> POWER_BITS
+    out *= _table(base, size, int(far.max(initial=0)) + 1)[far]
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -64,16 +74,23 @@ def chunks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """h[i] = sum of (data[j] + 1) BASE^j over j < i; the piece from a to b hashes to (h[b] - h[a]) INVERSE^a."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    terms = data.astype(np.uint64)
-    terms += np.uint64(1)
-    terms *= powers(BASE, len(data))
-    np.cumsum(terms, out=out[1:])
+    out, size = np.zeros(len(data) + 1, dtype=np.uint64), 1 << POWER_BITS
+    near, far = _table(BASE, 1, size), _table(BASE, size, len(data) // size + 1)
+    for k, lo in enumerate(range(0, len(data), size)):
+        terms = data[lo : lo + size].astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= near[: len(terms)]
+        terms *= far[k]
+        terms[:1] += out[lo : lo + 1]
+        np.cumsum(terms, out=out[lo + 1 : lo + 1 + len(terms)])
     return out
 
 
 def piece_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (prefix[end] - prefix[begin]) * powers(INVERSE, len(prefix))[begin]
+    out = prefix[end]
+    out -= prefix[begin]
+    out *= power(INVERSE, begin)
+    return out
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.bytesx import chunks, distinct, groups, mixed, powers, shingle_hashes, strings
+from lakequill.llm.bytesx import chunks, distinct, groups, mixed, shingle_hashes, strings
 from lakequill.llm.common import components, marked, may_hold, release, settle, shuffle_width, small_batches
 
 NO_ID = -(1 << 63)
@@ -255,4 +255,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     return out.select(*[F.col(own[c]).alias(c) for c in names])
 
 
-__all__ = ["bands_for", "jaccard_join", "joined_rows", "one_of_each", "powers"]
+__all__ = ["bands_for", "jaccard_join", "joined_rows", "one_of_each"]

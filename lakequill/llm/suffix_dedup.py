@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.bytesx import INVERSE, chunks, groups, mixed, piece_hash, powers, prefix_hash, strings
+from lakequill.llm.bytesx import INVERSE, chunks, groups, mixed, piece_hash, power, prefix_hash, strings
 from lakequill.llm.common import release, settle, shuffle_width, small_batches
 from lakequill.llm.ngram_join import NO_ID
 
@@ -38,12 +38,25 @@ PACK = 2 << 20
 BUCKET, TASK = 32 << 20, 128 << 20
 #: Windows whose anchors are found at a time; their places fit in the low bits below.
 STEP, LOW = 1 << 18, np.uint64((1 << 21) - 1)
+#: Windows that are sorted, or verified, at a time, about: what is held beside the text follows this, not the pack.
+PART = 1 << 18
 
 
 def _spread(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """values[k], values[k] + 1, ... , counts[k] of them, for every k."""
     total = int(counts.sum())
-    return np.repeat(values - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total) if total else np.zeros(0, np.int64)
+    out = np.arange(total)
+    out += np.repeat(values - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) if total else 0
+    return out
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of data one behind the other; few of their places are held at a time."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(int(ends[-1]), dtype=data.dtype)
+    for lo, hi in chunks(ends, PART):
+        out[ends[lo] : ends[hi]] = data[_spread(starts[lo:hi], sizes[lo:hi])]
+    return out
 
 
 def anchors(prefix: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,8 +94,7 @@ def anchors(prefix: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def common(prefix: np.ndarray, p: np.ndarray, q: np.ndarray, least: np.ndarray) -> np.ndarray:
     """How far the windows at p and q agree, at least `least`: a binary search on the hashes of what they begin with."""
-    back = powers(INVERSE, len(prefix))
-    hp, hq, ip, iq = prefix[p], prefix[q], back[p], back[q]
+    hp, hq, ip, iq = prefix[p], prefix[q], power(INVERSE, p), power(INVERSE, q)
     # Most that agree further agree to their end.
     whole = (prefix[p + WINDOW] - hp) * ip == (prefix[q + WINDOW] - hq) * iq
     low, high = np.where(whole, WINDOW, least), np.full(len(p), WINDOW, np.int64)
@@ -120,7 +132,9 @@ def alphabetical(data: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> np.nda
         # Ties that the next bytes do not part are looked at further on, where their nearest two part; or nowhere.
         inner = inner[~parted[tie[inner]]]
         share = np.where(parted, depth, WINDOW)
-        np.minimum.at(share, tie[inner], common(prefix, p[inner], p[inner + 1], depth[tie[inner]]))
+        for lo in range(0, len(inner), PART):
+            k = inner[lo : lo + PART]
+            np.minimum.at(share, tie[k], common(prefix, p[k], p[k + 1], depth[tie[k]]))
         rest = share[tie] < WINDOW
         if not rest.any():
             break
@@ -139,6 +153,49 @@ def alphabetical(data: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> np.nda
     return order
 
 
+def _parts(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """The windows at `at` (places in `at`, ascending) by ranges of their first byte, of about PART windows or one byte value."""
+    begins = data[at]
+    part, room = np.zeros(256, dtype=np.uint8), 0
+    for byte, many in enumerate(np.bincount(begins, minlength=256).tolist()):
+        new = byte > 0 and room + many > PART
+        room = many if new else room + many
+        part[byte] = part[byte - 1] + new if byte else 0
+    of = part[begins]
+    for k in range(int(part[-1]) + 1):
+        yield np.flatnonzero(of == k)
+
+
+def _firsts(data: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each window the place in `at` of the first that equals it: they stand together in alphabetical order."""
+    first = np.empty(len(at), dtype=np.int64)
+    for part in _parts(data, at):
+        if len(part):
+            own = at[part]
+            order = alphabetical(data, prefix, own)
+            h = piece_hash(prefix, own[order], own[order] + WINDOW)
+            new = np.ones(len(part), dtype=bool)
+            new[1:] = h[1:] != h[:-1]
+            first[part[order]] = part[order[np.maximum.accumulate(np.where(new, np.arange(len(part)), 0))]]
+    return first
+
+
+def _verified(data: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the windows at p and q agree, and which were judged by their last byte only: those whose left neighbours are
+    a pair as well."""
+    follows, equal = np.zeros(len(p), dtype=bool), np.zeros(len(p), dtype=bool)
+    for lo in range(0, len(p), PART):
+        here, before = slice(max(lo, 1), lo + PART), slice(max(lo, 1) - 1, min(lo + PART, len(p)) - 1)
+        follows[here] = (p[here] == p[before] + 1) & (q[here] == q[before] + 1)
+        here = slice(lo, lo + PART)
+        equal[here] = data[p[here] + WINDOW - 1] == data[q[here] + WINDOW - 1]
+    whole, span = np.flatnonzero(~follows), np.arange(WINDOW)
+    for lo in range(0, len(whole), 20_000):
+        k = whole[lo : lo + 20_000]
+        equal[k] = (data[p[k][:, None] + span] == data[q[k][:, None] + span]).all(axis=1)
+    return equal, follows
+
+
 def repeated(data: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which of the windows at `at`, given in order of precedence and place, equal an earlier one.
 
@@ -148,23 +205,11 @@ def repeated(data: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> np.ndarray
     n = len(at)
     if not n:
         return np.zeros(0, dtype=bool)
-    h = piece_hash(prefix, at, at + WINDOW)
-    order = alphabetical(data, prefix, at)
-    sorted_h = h[order]
-    new = np.ones(n, dtype=bool)
-    new[1:] = sorted_h[1:] != sorted_h[:-1]
-    first = np.empty(n, dtype=np.int64)
-    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+    first = _firsts(data, prefix, at)
     dup = first != np.arange(n)
     p, q = at[dup], at[first[dup]]
-    follows = np.zeros(len(p), dtype=bool)
-    follows[1:] = (p[1:] == p[:-1] + 1) & (q[1:] == q[:-1] + 1)
-    equal = data[p + WINDOW - 1] == data[q + WINDOW - 1]
-    whole = np.flatnonzero(~follows)
-    for lo in range(0, len(whole), 20_000):
-        k = whole[lo : lo + 20_000]
-        span = np.arange(WINDOW)
-        equal[k] = (data[p[k][:, None] + span] == data[q[k][:, None] + span]).all(axis=1)
+    del first
+    equal, follows = _verified(data, p, q)
     if not equal.all():
         # What follows an unequal pair was judged by one byte only.
         bad = np.cumsum(~equal)
@@ -172,6 +217,7 @@ def repeated(data: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> np.ndarray
         before = (bad - ~equal)[begin][np.cumsum(~follows) - 1]
         equal &= bad == before
         # Hashes have collided: windows with such a hash are compared by their bytes alone.
+        h = piece_hash(prefix, at, at + WINDOW)
         for value in np.unique(h[dup][~equal]):
             seen: set[bytes] = set()
             for k in np.flatnonzero(h == value):
@@ -280,16 +326,14 @@ def _send_runs(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 if b in flags:
                     met[part] = np.unpackbits(np.frombuffer(flags[b], dtype=np.uint8), count=len(part)).astype(bool)
             runs = np.flatnonzero((met | own.many)[own.which])
-            window = _spread(own.begin[runs], own.count[runs])
-            owner = np.repeat(runs, own.count[runs])
-            order = np.argsort(window, kind="stable")
-            window, owner = window[order], owner[order]
+            # Runs are in the order of their windows, none of which is in two.
+            window, count = _spread(own.begin[runs], own.count[runs]), own.count[runs]
             dup = repeated(own.data, own.prefix, window)
             gone = np.zeros(len(own.data), dtype=bool)
             gone[window[dup]] = True
             out = [(-1, b"", press.compress(np.packbits(gone).tobytes()))]
-            ask = ~dup & met[own.which[owner]]
-            w, o = window[ask], owner[ask]
+            ask = ~dup & np.repeat(met[own.which[runs]], count)
+            w, o = window[ask], np.repeat(runs, count)[ask]
             new = np.ones(len(w), dtype=bool)
             new[1:] = (w[1:] != w[:-1] + 1) | (o[1:] != o[:-1])
             first = np.flatnonzero(new)
@@ -321,7 +365,7 @@ def _meet_runs() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
             size = runs["n"].astype(np.int64) + WINDOW - 1
             start = np.cumsum(size) - size
             order = np.lexsort((runs["pos"], key[pack], runs["id"]))
-            data = data[_spread(start[order], size[order])]
+            data = _gathered(data, start[order], size[order])
             many = runs["n"].astype(np.int64)
             begin = np.cumsum(size[order]) - size[order]
             late = repeated(data, prefix_hash(data), _spread(begin, many[order]))

@@ -430,6 +430,21 @@ def test_suffix_anchors_in_steps_and_collisions(monkeypatch):
         want.append(w in seen)
         seen.add(w)
     assert suffix_dedup.repeated(data, prefix, at).tolist() == want
+    for part in (1, 64):  # sorted a byte value or a few at a time
+        monkeypatch.setattr(suffix_dedup, "PART", part)
+        assert suffix_dedup.repeated(data, prefix, at).tolist() == want
+
+
+def test_polynomial_hashes_over_table_ends():
+    data = np.random.default_rng(5).integers(0, 256, 200_000).astype(np.uint8)
+    want, base = [0], 1
+    for byte in data.tolist():
+        want.append((want[-1] + (byte + 1) * base) % (1 << 64))
+        base = base * bytesx.BASE % (1 << 64)
+    assert bytesx.prefix_hash(data).tolist() == want
+    at = np.array([0, 1, 65535, 65536, 65537, 131072, 199_999])
+    assert bytesx.power(bytesx.INVERSE, at).tolist() == [pow(bytesx.INVERSE, int(k), 1 << 64) for k in at]
+    assert bytesx.prefix_hash(data[:0]).tolist() == [0] and len(bytesx.power(bytesx.BASE, at[:0])) == 0
 
 
 # Embeddings
